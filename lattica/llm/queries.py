@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from .digest import op6_digest
+from .packing import op3_packing
 from .simhash import op10_simhash
+from .tokenstore import op8_tokenstore
 
 QUERIES = {
+    "op3_packing": op3_packing,
+    "op6_digest": op6_digest,
+    "op8_tokenstore": op8_tokenstore,
     "op10_simhash": op10_simhash,
 }
 ORACLES: dict[str, str] = {}
