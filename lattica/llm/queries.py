@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from .digest import op6_digest
 from .packing import op3_packing
+from .redirects import OP5_SQL, op5_redirects
 from .simhash import op10_simhash
+from .substrings import op9_substrings
 from .tokenstore import op8_tokenstore
 
 QUERIES = {
     "op3_packing": op3_packing,
+    "op5_redirects": op5_redirects,
     "op6_digest": op6_digest,
     "op8_tokenstore": op8_tokenstore,
+    "op9_substrings": op9_substrings,
     "op10_simhash": op10_simhash,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_redirects": OP5_SQL}
