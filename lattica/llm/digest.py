@@ -15,6 +15,7 @@ import unicodedata
 
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -108,9 +109,13 @@ OUT = "doc_id long, n_chars long, edited_sha256 string, digest string, edited_di
 def _compared(batches):
     """Rows of whole ranges in order, each range ended by copies of the next range's first row."""
     held, out = None, []
+    opened = zstandard.ZstdDecompressor()
+
+    def read(z):
+        return opened.decompress(z).decode("utf-8", "surrogatepass") if z else ""
 
     def row(now, following):
-        text, after = now[2] or "", following[2] or ""
+        text, after = now[2], following[2]
         new = edited(text, after)
         form, next_form, new_form = canonical(text), canonical(after), canonical(new)
         sha = hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest()
@@ -123,7 +128,8 @@ def _compared(batches):
         return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     for batch in batches:
-        for now in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+        for part, doc, z, tail in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            now = (part, doc, read(z), tail)
             if held is not None and held[0] == now[0] and not held[3]:
                 out.append(row(held, now))
             held = now
@@ -136,23 +142,30 @@ def compare_edited(docs: DataFrame, rows_a_range: int = 4096) -> DataFrame:
 
     Documents are dealt by ranges of doc_id; each range also gets the first row of the next
     one (the last range: the first of all), so neighbours meet with one shuffle and no global
-    sort. Equal ids go by text.
+    sort. Equal ids go in a fixed order of their own.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     n = docs.count()
     bounds = range_bounds(docs.where("doc_id is not null"), "doc_id", max(1, min(20_000, n // rows_a_range)))
     rows = with_range(docs, "doc_id", bounds, "part")
     rows = with_range(rows.withColumn("before", F.col("doc_id") - 1), "before", bounds, "part_before")
-    first = rows.orderBy(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text")).select("doc_id").limit(1).collect()
+    first = rows.select("doc_id").orderBy(F.asc_nulls_first("doc_id")).limit(1).collect()
     is_first = F.col("doc_id").eqNullSafe(F.lit(first[0]["doc_id"] if first else None).cast("long"))
     # bounds are ids of the table, so a range's first id is the one whose predecessor falls in the range before
     ahead = F.when(is_first, F.lit(len(bounds))).when(F.col("part_before") < F.col("part"), F.col("part_before"))
     own = F.struct(F.col("part"), F.lit(False).alias("tail"))
     places = F.when(ahead.isNull(), F.array(own)).otherwise(F.array(own, F.struct(ahead.alias("part"), F.lit(True).alias("tail"))))
     dealt = rows.select("doc_id", "text", F.explode(places).alias("p")).select(F.col("p.part").alias("part"), "doc_id", "text", F.col("p.tail").alias("tail"))
-    dealt = dealt.repartition(len(bounds) + 1, "part")
-    dealt = dealt.sortWithinPartitions("part", "tail", F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
-    return dealt.mapInArrow(_compared, OUT)
+    dealt = dealt.mapInArrow(_shrunk, "part int, doc_id long, z binary, tail boolean").repartition(len(bounds) + 1, "part")
+    return dealt.sortWithinPartitions("part", "tail", F.asc_nulls_first("doc_id"), "z").mapInArrow(_compared, OUT)
+
+
+def _shrunk(batches):
+    """Texts compressed for the shuffle."""
+    pack = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        z = [pack.compress(t.encode("utf-8", "surrogatepass")) if t else b"" for t in batch.column(2).to_pylist()]
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(z, pa.binary()), batch.column(3)], names=["part", "doc_id", "z", "tail"])
 
 
 def op6_digest(spark, sf_dir: str) -> DataFrame:
