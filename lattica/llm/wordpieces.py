@@ -20,7 +20,7 @@ from .common import WORD
 PLAIN = re.compile(r"[\t\n\v\f\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
 PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 #: Entries kept of each kind; beyond that the longer ones are forgotten.
-MOST, MOST_WORDS = 500_000, 400_000
+MOST, MOST_WORDS = 300_000, 250_000
 END = "</w>"
 
 
