@@ -10,8 +10,10 @@ from .redirects import OP5_SQL, op5_redirects
 from .simhash import op10_simhash
 from .substrings import op9_substrings
 from .tokenstore import op8_tokenstore
+from .wrappers import op1_wrappers
 
 QUERIES = {
+    "op1_wrappers": op1_wrappers,
     "op3_packing": op3_packing,
     "op4_quality": op4_quality,
     "op5_redirects": op5_redirects,
