@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op2_decontaminate
 from .digest import op6_digest
 from .ngram_scores import op7_ngram_scores
 from .packing import op3_packing
@@ -14,6 +15,7 @@ from .wrappers import op1_wrappers
 
 QUERIES = {
     "op1_wrappers": op1_wrappers,
+    "op2_decontaminate": op2_decontaminate,
     "op3_packing": op3_packing,
     "op4_quality": op4_quality,
     "op5_redirects": op5_redirects,
