@@ -88,7 +88,7 @@ def _roles(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
         edge = known.select(F.percentile_approx("draw", most / n, 100_000)).first()[0]
         known = known.where(F.col("draw") <= edge)
     role = F.when(F.col("good") & (F.pmod("draw", F.lit(2)) == 0), 1).when(F.col("good"), 2).otherwise(3)
-    known = known.select("doc_id", role.alias("role"))
+    known = F.broadcast(known.select("doc_id", role.alias("role")))  # at most about `most` rows, so no text is shuffled
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(known, "doc_id", "left").withColumn("role", F.coalesce("role", F.lit(0)))
 
 
