@@ -1,6 +1,440 @@
-"""Queries over the driver tables, by name, with the SQL that gives the same rows."""
+"""Queries over the driver tables, by name, with the SQL that gives the same rows.
+
+Nested results are flattened to rows here, so that they can be compared by value.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import crypto
+from .functions import values as V
+from .operators import admission, index, merge, reputation, routing, state
+from .plans.nested import Graph, select
+from .sources import tables as T
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _flat(s: DataFrame) -> DataFrame:
+    return s.select("soul", "field", F.col("value.num").alias("num"), "ts", "lamport")
+
+
+EVENT = "'user:' || user_id AS soul, event_type AS field, value AS num, epoch_us(ts) / 1000.0 AS ts, CAST(event_id AS DOUBLE) AS lamport"
+DELTA = "CASE event_type WHEN 'view' THEN 1.0 WHEN 'error' THEN -1.0 WHEN 'click' THEN -5.0 WHEN 'signup' THEN -3.0 ELSE 10.0 END::DOUBLE"
+PAD = "lpad(CAST({} AS VARCHAR), 10, '0')"
+
+
+def _soul(kind: str, key: str) -> str:
+    return f"'{kind}:' || {PAD.format(key)}"
+
+
+ITEM = "'item:' || concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT), strftime(l_shipdate, '%Y%m%d'))"
+
+
+# Merging
+
+
+@query(f"SELECT {EVENT} FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1")
+def lww_state(spark, d):
+    """Last write wins, unguarded."""
+    return _flat(merge.lww(T.event_writes(spark, d)))
+
+
+@query("""SELECT 'user:' || user_id AS soul, event_type AS field, value AS num, CAST(epoch_ms(date_trunc('day', ts)) AS DOUBLE) AS ts, 1.0::DOUBLE AS lamport FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY date_trunc('day', ts) DESC, value DESC) = 1""")
+def lww_tie_break(spark, d):
+    """Equal clocks, times of whole days: the greater value wins a tie."""
+    day = T.millis(F.date_trunc("day", F.col("ts")))
+    return _flat(merge.lww(T.event_writes(spark, d, ts=day, lamport=F.lit(1.0))))
+
+
+@query(f"SELECT {EVENT} FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1")
+def fww_state(spark, d):
+    return _flat(merge.fww(T.event_writes(spark, d)))
+
+
+@query("""WITH RECURSIVE w AS (
+  SELECT user_id, event_type, value, epoch_us(ts) / 1000000.0 AS ts, CAST(event_id AS DOUBLE) AS lamport, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS k FROM events),
+f AS (
+  SELECT user_id, event_type, value, ts, lamport, k FROM w WHERE k = 1
+  UNION ALL
+  SELECT w.user_id, w.event_type, CASE WHEN w.ts > f.ts + 300000 THEN f.value ELSE w.value END, CASE WHEN w.ts > f.ts + 300000 THEN f.ts ELSE w.ts END,
+         CASE WHEN w.ts > f.ts + 300000 THEN f.lamport ELSE least(w.lamport, f.lamport + 1000) END, w.k
+  FROM f JOIN w ON w.user_id = f.user_id AND w.event_type = f.event_type AND w.k = f.k + 1)
+SELECT 'user:' || user_id AS soul, event_type AS field, value AS num, ts, lamport FROM f QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY k DESC) = 1""")
+def guarded_merge(spark, d):
+    """The ordered fold with its guards, times a thousandth so that the ceiling turns away some writes only."""
+    ts = F.unix_micros(F.col("ts").cast("timestamp")) / 1000000.0
+    return _flat(merge.folded(T.event_writes(spark, d, ts=ts)))
+
+
+@query("SELECT 'user:' || user_id AS soul, event_type AS field, max(value) AS num FROM events GROUP BY ALL")
+def custom_merge(spark, d):
+    """A resolver of one's own: the greater value stays."""
+    greater = lambda ts, v, cur_ts, cur, lam, cur_lam: cur is None or v["num"] > cur["num"]
+    return merge.folded(T.event_writes(spark, d), greater, ts_jump=float("inf")).select("soul", "field", F.col("value.num").alias("num"))
+
+
+@query("SELECT CAST(max(event_id) AS DOUBLE) AS clock FROM events")
+def replay_clock(spark, d):
+    return merge.replay_clock(merge.lww(T.event_writes(spark, d)))
+
+
+# State
+
+
+def _order_state(spark, d) -> DataFrame:
+    """Orders as fields; those of status F are deleted, the marker is set on those of status O."""
+    o = T.table(spark, d, "orders")
+    gone = F.col("o_orderstatus") == "F"
+    total = F.when(gone, V.null()).otherwise(V.number(F.col("o_totalprice")))
+    priority = F.when(gone, V.null()).otherwise(V.string(F.col("o_orderpriority")))
+    marker = F.when(F.col("o_orderstatus") == "O", V.value("boolean", boolean=F.lit(True))).otherwise(V.value("boolean", boolean=F.lit(False)))
+    fields = F.array(F.struct(F.lit("priority").alias("field"), priority.alias("value")), F.struct(F.lit("total").alias("field"), total.alias("value")))
+    with_marker = F.when(gone, fields).otherwise(F.concat(fields, F.array(F.struct(F.lit(state.MARKER).alias("field"), marker.alias("value")))))
+    rows = o.select(T.soul("order", F.col("o_orderkey")).alias("soul"), F.explode(with_marker).alias("f"))
+    return rows.select("soul", "f.field", "f.value", F.lit(1.0).alias("ts"), F.lit(1.0).alias("lamport"))
+
+
+@query(f"SELECT {_soul('order', 'o_orderkey')} AS soul, CAST(3 AS BIGINT) AS fields FROM orders WHERE o_orderstatus <> 'F'")
+def tombstone_purge(spark, d):
+    return state.purged(_order_state(spark, d)).groupBy("soul").agg(F.count("*").alias("fields"))
+
+
+@query(f"SELECT {_soul('order', 'o_orderkey')} AS soul, o_orderpriority AS priority, o_totalprice AS total FROM orders WHERE o_orderstatus = 'O'")
+def txn_visible(spark, d):
+    from pyspark.sql import types as S
+
+    schema = S.StructType([S.StructField("priority", S.StringType()), S.StructField("total", S.DoubleType())])
+    return state.wide(state.committed(_order_state(spark, d)), schema).select("soul", "priority", "total")
+
+
+@query("""SELECT 'user:' || user_id AS soul, count(*) AS fields, max(lamport) AS newest FROM (
+  SELECT user_id, event_type, CAST(max(event_id) AS DOUBLE) AS lamport FROM events GROUP BY ALL) GROUP BY user_id""")
+def compact_state(spark, d):
+    entries = state.compacted(merge.lww(T.event_writes(spark, d)), purge_deleted=True)
+    return entries.select("soul", F.size("fields").cast("long").alias("fields"), F.array_max("fields.lamport").alias("newest"))
+
+
+@query("SELECT count(DISTINCT user_id) AS nodes, count(*) AS fields FROM (SELECT DISTINCT user_id, event_type FROM events)")
+def convergence_counts(spark, d):
+    return state.counts(merge.lww(T.event_writes(spark, d)))
+
+
+# Selection queries
+
+
+@query(f"SELECT {_soul('customer', 'c_custkey')} AS soul, c_name AS name, c_acctbal AS acctbal FROM customer WHERE c_acctbal >= 1000 AND c_acctbal < 5000")
+def root_filter_range(spark, d):
+    c = T.customers(spark, d)
+    return select(Graph({"customer": c}), "customer", {"souls": c.select("soul"), "select": ["name", "acctbal"], "filter": {"acctbal": {"$gte": 1000, "$lt": 5000}}})
+
+
+@query(f"SELECT {_soul('customer', 'c_custkey')} AS soul, c_name AS name FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
+def root_filter_in(spark, d):
+    c = T.customers(spark, d)
+    return select(Graph({"customer": c}), "customer", {"souls": c.select("soul"), "select": ["name"], "filter": {"segment": {"$in": ["BUILDING", "MACHINERY", 3]}}})
+
+
+@query(f"SELECT {_soul('order', 'o_orderkey')} AS soul, o_totalprice AS total FROM orders WHERE o_orderstatus <> 'F' AND o_orderpriority = '1-URGENT'")
+def root_filter_ne(spark, d):
+    o = T.orders(spark, d)
+    return select(Graph({"order": o}), "order", {"souls": o.select("soul"), "select": ["total"], "filter": {"status": {"$ne": "F"}, "priority": "1-URGENT"}})
+
+
+@query(f"SELECT {_soul('part', 'p_partkey')} AS soul, p_retailprice AS price FROM part ORDER BY p_retailprice DESC, soul LIMIT 50 OFFSET 10")
+def root_sort_offset_limit(spark, d):
+    p = T.table(spark, d, "part").select(T.soul("part", F.col("p_partkey")).alias("soul"), F.col("p_retailprice").alias("price"))
+    return select(Graph({"part": p}), "part", {"souls": p.select("soul"), "select": ["price"], "sort": ["price", "desc"], "offset": 10, "limit": 50})
+
+
+@query(f"SELECT p_name AS name FROM part WHERE {_soul('part', 'p_partkey')} IN ('part:0000000007', 'part:0000000003')")
+def root_souls_rows(spark, d):
+    """Enumerated roots, repeated and missing ones, without their souls."""
+    p = T.table(spark, d, "part").select(T.soul("part", F.col("p_partkey")).alias("soul"), F.col("p_name").alias("name"))
+    souls = ["part:0000000007", "part:0000000003", "part:0000000007", "part:none"]
+    return select(Graph({"part": p}), "part", {"souls": souls, "select": ["name"], "mapToRows": True})
+
+
+@query(f"SELECT {_soul('order', 'o_orderkey')} AS soul, o_totalprice AS total, {_soul('customer', 'c_custkey')} AS customer, c_name AS name FROM orders LEFT JOIN customer ON c_custkey = o_custkey")
+def ref_single(spark, d):
+    g = T.shop(spark, d)
+    out = select(g, "order", {"souls": g.nodes["order"].select("soul"), "select": ["total"], "buyer": {"via": "customer", "select": ["name"]}})
+    return out.select("soul", "total", F.col("buyer.soul").alias("customer"), F.col("buyer.name").alias("name"))
+
+
+@query(f"""SELECT {_soul('order', 'o_orderkey')} AS soul, {_soul('customer', 'c_custkey')} AS customer, c_acctbal AS acctbal
+FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal > 5000""")
+def ref_single_filtered(spark, d):
+    """A reference to a node that the filter turns away is null; its parent stays."""
+    g = T.shop(spark, d)
+    out = select(g, "order", {"souls": g.nodes["order"].select("soul"), "customer": {"select": ["acctbal"], "filter": {"acctbal": {"$gt": 5000}}}})
+    return out.select("soul", F.col("customer.soul").alias("customer"), F.col("customer.acctbal").alias("acctbal"))
+
+
+@query(f"SELECT {_soul('customer', 'c_custkey')} AS soul, {_soul('order', 'o_orderkey')} AS child, row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) - 1 AS place, o_totalprice AS total FROM customer JOIN orders ON o_custkey = c_custkey")
+def ref_list(spark, d):
+    g = T.shop(spark, d)
+    out = select(g, "customer", {"souls": g.nodes["customer"].select("soul"), "orders": {"list": True, "select": ["total"]}})
+    return out.select("soul", F.posexplode("orders").alias("place", "o")).select("soul", F.col("o.soul").alias("child"), F.col("place").cast("long").alias("place"), F.col("o.total").alias("total"))
+
+
+@query(f"""SELECT {_soul('customer', 'c_custkey')} AS soul, {_soul('order', 'o_orderkey')} AS child, k - 2 AS place, o_totalprice AS total FROM (
+  SELECT c_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY c_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k
+  FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderstatus <> 'P') WHERE k BETWEEN 2 AND 4""")
+def ref_list_topk(spark, d):
+    """Filter, order, offset and limit of each list."""
+    g = T.shop(spark, d)
+    child = {"list": True, "select": ["total"], "filter": {"status": {"$ne": "P"}}, "sort": ["total", "desc"], "offset": 1, "limit": 3}
+    out = select(g, "customer", {"souls": g.nodes["customer"].select("soul"), "orders": child})
+    return out.select("soul", F.posexplode("orders").alias("place", "o")).select("soul", F.col("o.soul").alias("child"), F.col("place").cast("long").alias("place"), F.col("o.total").alias("total"))
+
+
+@query(f"""SELECT {_soul('customer', 'c_custkey')} AS soul, {_soul('order', 'o_orderkey')} AS child, {ITEM} AS item, l_quantity AS quantity
+FROM customer JOIN orders ON o_custkey = c_custkey JOIN (SELECT DISTINCT * FROM lineitem) ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' AND c_mktsegment = 'BUILDING'""")
+def ref_two_level(spark, d):
+    g = T.shop(spark, d)
+    lists = {"list": True, "items": {"list": True, "select": ["quantity"], "filter": {"flag": "R"}}}
+    out = select(g, "customer", {"souls": g.nodes["customer"].select("soul"), "filter": {"segment": "BUILDING"}, "orders": lists})
+    rows = out.select("soul", F.explode("orders").alias("o")).select("soul", F.col("o.soul").alias("child"), F.explode("o.items").alias("i"))
+    return rows.select("soul", "child", F.col("i.soul").alias("item"), F.col("i.quantity").alias("quantity"))
+
+
+@query(f"SELECT {_soul('order', 'o_orderkey')} AS soul, c_name AS name, true AS cut FROM orders JOIN customer ON c_custkey = o_custkey")
+def depth_cut(spark, d):
+    """Beyond maxDepth a node is its scalars and a flag."""
+    g = T.shop(spark, d)
+    buyer = {"select": ["name"], "nation": {"select": ["name"]}}
+    out = select(g, "order", {"souls": g.nodes["order"].select("soul"), "customer": buyer, "maxDepth": 0})
+    return out.select("soul", F.col("customer.name").alias("name"), F.col("customer._depthExceeded").alias("cut"))
+
+
+@query(f"SELECT {_soul('customer', 'c_custkey')} AS soul, n_name AS nation, r_name AS region FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey")
+def ref_chain(spark, d):
+    g = T.shop(spark, d)
+    nation = {"select": ["name"], "region": {"select": ["name"]}}
+    out = select(g, "customer", {"souls": g.nodes["customer"].select("soul"), "nation": nation})
+    return out.select("soul", F.col("nation.name").alias("nation"), F.col("nation.region.name").alias("region"))
+
+
+# Access by key
+
+
+@query(f"SELECT {_soul('order', 'o_orderkey')} AS soul, o_totalprice AS total FROM orders WHERE o_orderkey = 7")
+def point_get(spark, d):
+    return index.point(T.orders(spark, d), "order:0000000007").select("soul", "total")
+
+
+@query(f"SELECT DISTINCT {_soul('order', 'o_orderkey')} AS soul FROM orders WHERE starts_with({_soul('order', 'o_orderkey')}, 'order:00000001')")
+def prefix_scan(spark, d):
+    return index.prefix(T.orders(spark, d), "order:00000001")
+
+
+@query(f"SELECT DISTINCT {_soul('order', 'o_orderkey')} AS soul FROM orders WHERE {_soul('order', 'o_orderkey')} >= 'order:0000000100' AND {_soul('order', 'o_orderkey')} < 'order:0000000900'")
+def range_scan(spark, d):
+    return index.souls_between(T.orders(spark, d), "order:0000000100", "order:0000000900")
+
+
+@query("SELECT 'user:' || user_id AS soul, epoch_us(ts) / 1000.0 AS timestamp, event_id AS entry FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def index_newest(spark, d):
+    e = T.table(spark, d, "events")
+    entries = e.select(F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("soul"), T.millis(F.col("ts")).alias("timestamp"), F.col("event_id").alias("entry"), F.col("event_id").alias("source"))
+    return index.newest(entries).select("soul", "timestamp", "entry")
+
+
+@query("SELECT 'user:' || user_id AS soul, max(epoch_us(ts) / 1000.0) AS timestamp FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1) GROUP BY ALL")
+def index_rebuild(spark, d):
+    return index.rebuilt(merge.lww(T.event_writes(spark, d)))
+
+
+# Reputation
+
+
+SCORED = f"""l AS (SELECT user_id AS peer_id, event_id, {DELTA} AS delta FROM events),
+s AS (SELECT peer_id, event_id, sum(delta) OVER (PARTITION BY peer_id ORDER BY event_id) AS x FROM l),
+m AS (SELECT peer_id, event_id, x - greatest(0, max(x) OVER (PARTITION BY peer_id ORDER BY event_id) - 20) AS score FROM s)"""
+
+
+@query(f"""WITH {SCORED}
+SELECT peer_id, max_by(score, event_id) AS score, (SELECT least(20, sum(delta)) FROM l WHERE l.peer_id = m.peer_id)::DOUBLE AS restored, count(*) AS entries FROM m GROUP BY peer_id""")
+def reputation_score(spark, d):
+    return reputation.scores(T.event_ledger(spark, d))
+
+
+@query(f"""WITH {SCORED}, e AS (SELECT peer_id, max_by(score, event_id) AS score FROM m GROUP BY peer_id)
+SELECT peer_id, CASE WHEN score >= 0 THEN 'accept' WHEN score < -10 THEN 'drop' ELSE 'queue' END AS band, score < -20 AS isolated FROM e""")
+def throttle_state(spark, d):
+    s = reputation.scores(T.event_ledger(spark, d))
+    return s.select("peer_id", reputation.throttle(F.col("score")).alias("band"), reputation.isolated(F.col("score")).alias("isolated"))
+
+
+@query(f"SELECT user_id AS peer_id, sum({DELTA}) AS delta, max_by(event_type, event_id) AS reason, max_by(epoch_us(ts) / 1000.0, event_id) AS ts FROM events GROUP BY user_id")
+def reputation_compact(spark, d):
+    return reputation.compacted(T.event_ledger(spark, d))
+
+
+@query("SELECT user_id AS peer_id, event_id AS seq FROM events ORDER BY event_id DESC LIMIT 500")
+def ledger_cap(spark, d):
+    return reputation.capped_ledger(T.event_ledger(spark, d), 500).select("peer_id", "seq")
+
+
+@query(f"""WITH e AS (SELECT user_id % 20 AS conn, user_id AS peer_id, greatest(-5, least(10, {DELTA} * 2))::DOUBLE AS delta, event_type AS reason, floor(epoch_us(ts) / 3600000000.0)::DOUBLE AS ts, event_id AS seq FROM events),
+o AS (SELECT peer_id, delta, reason, ts, min(seq) AS seq, min_by(conn, seq) AS conn FROM e GROUP BY ALL),
+w AS (SELECT *, CAST(floor(ts / 60000) AS BIGINT) AS "window" FROM o),
+f AS (SELECT *, min(seq) OVER (PARTITION BY conn, "window", peer_id) AS first, row_number() OVER (PARTITION BY conn, "window", peer_id ORDER BY seq) AS k FROM w),
+t AS (SELECT *, dense_rank() OVER (PARTITION BY conn, "window" ORDER BY first) AS t FROM f)
+SELECT conn, peer_id, delta, reason, ts, seq FROM t WHERE t <= 3 AND k <= 5""")
+def gossip_fold(spark, d):
+    """Remote entries: clamped, repeats dropped, capped by connection and window; times in hours so that some repeat."""
+    l = T.event_ledger(spark, d)  # noqa: E741
+    rows = l.select((F.col("peer_id") % 20).alias("conn"), "peer_id", (F.col("delta") * 2).alias("delta"), "reason", F.floor(F.col("ts") / 3600000).cast("double").alias("ts"), "seq")
+    return reputation.gossip(rows, targets=3).select("conn", "peer_id", "delta", "reason", "ts", "seq")
+
+
+# Admission
+
+
+@query("""SELECT event_id AS seq, user_id AS conn, clock, clock > coalesce(max(clock) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS in_order
+FROM (SELECT event_id, user_id, CAST((event_id * 37) % 1009 AS DOUBLE) AS clock FROM events)""")
+def clock_gate(spark, d):
+    e = T.table(spark, d, "events")
+    rows = e.select(F.col("event_id").alias("seq"), F.col("user_id").alias("conn"), (F.col("event_id") * 37 % 1009).cast("double").alias("clock"))
+    return admission.clock_order(rows).select("seq", "conn", "clock", "in_order")
+
+
+@query("SELECT CAST(event_id % 500 AS VARCHAR) AS id, min(event_id) AS seq, min_by(user_id, event_id) AS conn FROM events GROUP BY ALL")
+def dedup_ids(spark, d):
+    e = T.table(spark, d, "events")
+    rows = e.select((F.col("event_id") % 500).cast("string").alias("id"), F.col("event_id").alias("seq"), F.col("user_id").alias("conn"))
+    return admission.first_of_id(rows).select("id", "seq", "conn")
+
+
+@query("""SELECT event_id AS seq, CASE WHEN event_id % 11 = 0 THEN 'parse' WHEN event_id % 13 = 0 THEN 'envelope' WHEN event_id % 7 = 0 THEN 'signature_missing' ELSE 'in' END AS gate FROM events""")
+def stateless_gates(spark, d):
+    """Torn JSON, ids that are too long, writes to keys without a signature."""
+    e = T.table(spark, d, "events")
+    soul = F.when(F.col("event_id") % 7 == 0, F.sha2(F.col("event_id").cast("string"), 256)).otherwise("plain")
+    ident = F.when(F.col("event_id") % 13 == 0, F.repeat(F.lit("x"), 300)).otherwise(F.col("event_id").cast("string"))
+    raw = F.to_json(F.struct(ident.alias("id"), F.lit("put").alias("type"), soul.alias("soul")))
+    raw = F.when(F.col("event_id") % 11 == 0, F.substring(raw, 1, 9)).otherwise(raw)
+    rows = admission.gated(admission.parsed(e.select(F.col("user_id").alias("conn"), F.col("event_id").alias("seq"), raw.alias("raw"))))
+    return rows.select("seq", F.coalesce("reject", F.lit("in")).alias("gate"))
+
+
+@query("""SELECT o_orderkey AS k, sha256('{"fields":{"p":"' || o_orderpriority || '","s":"' || o_orderstatus || '"},"ts":' || o_orderkey || '}') AS digest,
+  starts_with(sha256('order:' || o_orderkey || ':m:' || sha256('{"fields":{"p":"' || o_orderpriority || '","s":"' || o_orderstatus || '"},"ts":' || o_orderkey || '}') || ':' || o_custkey), '0') AS done FROM orders""")
+def pow_verify(spark, d):
+    """Proof of work over the canonical JSON of fields and time."""
+    o = T.table(spark, d, "orders")
+    fields = F.to_json(F.struct(F.col("o_orderstatus").alias("s"), F.col("o_orderpriority").alias("p")))
+    key = F.col("o_orderkey").cast("string")
+    rows = o.select(key.alias("key"), "o_orderkey", "o_custkey", crypto.work_digest(fields, key).alias("digest"))
+    hashed = crypto.work_hash(F.concat(F.lit("order:"), F.col("key")), F.lit("m"), F.col("digest"), F.col("o_custkey"))
+    return rows.select(F.col("o_orderkey").alias("k"), "digest", crypto.work_done(hashed, 1).alias("done"))
+
+
+@query("""SELECT o_orderkey AS k, substr(sha256('{"a":' || o_orderkey || ',"b":"' || o_orderstatus || '"}'), 1, 16) AS nonce FROM orders""")
+def batch_id(spark, d):
+    """Equal fields have equal batch ids, whatever the order of their keys."""
+    o = T.table(spark, d, "orders")
+    fields = F.to_json(F.struct(F.col("o_orderstatus").alias("b"), F.col("o_orderkey").alias("a")))
+    return o.select(F.col("o_orderkey").alias("k"), crypto.batch_nonce(fields).alias("nonce"))
+
+
+@query("SELECT o_orderkey AS k, rtrim(translate(to_base64(encode(o_orderpriority)), '+/', '-_'), '=') AS code FROM orders")
+def base64url_codes(spark, d):
+    o = T.table(spark, d, "orders")
+    return o.select(F.col("o_orderkey").alias("k"), crypto.base64url(F.encode("o_orderpriority", "utf-8")).alias("code"))
+
+
+# Routing and metrics
+
+
+@query("SELECT substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, 4) AS bucket, count(*) AS n FROM orders GROUP BY ALL")
+def geohash_bucket(spark, d):
+    o = T.table(spark, d, "orders").select(F.sha2(F.col("o_orderkey").cast("string"), 256).alias("soul"))
+    return o.groupBy(routing.bucket(F.col("soul")).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+PEERS = "SELECT CAST(s_suppkey AS VARCHAR) AS peer, s_acctbal AS latency, CAST(s_suppkey % 3 AS DOUBLE) AS loss, CASE WHEN s_suppkey % 10 = 0 THEN NULL ELSE substr(sha256(CAST(s_suppkey AS VARCHAR)), 1, 1) END AS routing_key FROM supplier"
+
+
+@query(f"""WITH p AS (SELECT *, latency - 100 * loss AS rank, row_number() OVER (ORDER BY latency - 100 * loss, peer) AS place FROM ({PEERS})),
+s AS (SELECT CASE WHEN c_custkey % 5 = 0 THEN 'plain:' || c_custkey ELSE sha256(CAST(c_custkey AS VARCHAR)) END AS soul, c_custkey % 5 <> 0 AS keyed FROM customer WHERE c_custkey <= 200),
+m AS (SELECT soul, peer, row_number() OVER (PARTITION BY soul ORDER BY rank, peer) AS k FROM s JOIN p ON keyed AND (routing_key IS NULL OR starts_with(substr(soul, 1, 1), routing_key))),
+t AS (SELECT soul FROM m WHERE k <= 3 GROUP BY soul HAVING count(*) >= 2)
+SELECT soul, peer FROM m JOIN t USING (soul) WHERE k <= 3
+UNION SELECT soul, peer FROM t, p WHERE place BETWEEN 4 AND 5
+UNION SELECT soul, peer FROM s, p WHERE soul NOT IN (SELECT soul FROM t)""")
+def route_peers(spark, d):
+    """The peers of each write; keys share one hex digit here, so that buckets have members."""
+    key = F.col("s_suppkey").cast("string")
+    peers = T.table(spark, d, "supplier").select(key.alias("peer"), F.col("s_acctbal").alias("latency"), (F.col("s_suppkey") % 3).cast("double").alias("loss"), F.when(F.col("s_suppkey") % 10 != 0, F.substring(F.sha2(key, 256), 1, 1)).alias("routing_key"))
+    c = T.table(spark, d, "customer").where("c_custkey <= 200")
+    name = F.col("c_custkey").cast("string")
+    souls = c.select(F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit("plain:"), name)).otherwise(F.sha2(name, 256)).alias("soul"))
+    return routing.routes(souls, peers, n=1)
+
+
+@query("""SELECT event_type, max(CASE WHEN k = greatest(1, ceil(0.5 * n)) THEN value END) AS p50, max(CASE WHEN k = greatest(1, ceil(0.9 * n)) THEN value END) AS p90, max(CASE WHEN k = greatest(1, ceil(0.99 * n)) THEN value END) AS p99
+FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events) GROUP BY event_type""")
+def percentiles(spark, d):
+    return routing.percentile(T.table(spark, d, "events"), ["event_type"], "value", [50, 90, 99])
+
+
+def _samples(spark, d) -> DataFrame:
+    return T.table(spark, d, "events").select(F.col("user_id").alias("peer"), F.col("event_id").alias("seq"), F.col("value").alias("latency"))
+
+
+@query("""WITH r AS (SELECT user_id AS peer, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events),
+w AS (SELECT peer, value, row_number() OVER (PARTITION BY peer ORDER BY value) AS k, count(*) OVER (PARTITION BY peer) AS n FROM r WHERE k <= 20)
+SELECT peer, max(CASE WHEN k = greatest(1, ceil(0.5 * n)) THEN value END) AS p50, max(CASE WHEN k = greatest(1, ceil(0.9 * n)) THEN value END) AS p90, max(CASE WHEN k = greatest(1, ceil(0.99 * n)) THEN value END) AS p99, max(n) AS samples FROM w GROUP BY peer""")
+def latency_metrics(spark, d):
+    return routing.metrics(_samples(spark, d), last=20)
+
+
+@query("""WITH RECURSIVE w AS (SELECT user_id AS peer, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+f AS (SELECT peer, (0 * 0 + v) / 1 AS x, k FROM w WHERE k = 1 UNION ALL
+  SELECT w.peer, (f.x * least(f.k, 100) + w.v) / (least(f.k, 100) + 1), w.k FROM f JOIN w ON w.peer = f.peer AND w.k = f.k + 1)
+SELECT peer, round(max_by(x, k), 6) AS latency FROM f GROUP BY peer""")
+def peer_health(spark, d):
+    return routing.health(_samples(spark, d), "latency").select("peer", F.round("latency", 6).alias("latency"))
+
+
+@query("""WITH RECURSIVE w AS (SELECT user_id AS peer, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+f AS (SELECT peer, CAST(1.0 AS DOUBLE) AS x, CAST(0 AS BIGINT) AS k FROM w WHERE k = 1 UNION ALL
+  SELECT w.peer, CASE WHEN w.v > 100 THEN greatest(0.1, f.x * 0.9) WHEN w.v < 50 THEN least(1.0, f.x * 1.05) ELSE f.x END, w.k FROM f JOIN w ON w.peer = f.peer AND w.k = f.k + 1)
+SELECT peer, round(max_by(x, k), 6) AS scale FROM f GROUP BY peer""")
+def backpressure_scale(spark, d):
+    ticks = _samples(spark, d).withColumnRenamed("latency", "p99")
+    return routing.backpressure(ticks).select("peer", F.round("scale", 6).alias("scale"))
+
+
+@query("""WITH RECURSIVE w AS (SELECT user_id AS peer, CAST(floor(value) AS INTEGER) AS n, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+f AS (SELECT peer, 4 AS d, CAST(0 AS BIGINT) AS k FROM w WHERE k = 1 UNION ALL
+  SELECT w.peer, CASE WHEN w.n > 50 THEN least(8, f.d + 1) WHEN w.n < 5 THEN greatest(1, f.d - 1) ELSE f.d END, w.k FROM f JOIN w ON w.peer = f.peer AND w.k = f.k + 1)
+SELECT peer, max_by(d, k) AS difficulty FROM f GROUP BY peer""")
+def adaptive_difficulty(spark, d):
+    return routing.difficulty(_samples(spark, d).select("peer", "seq", F.floor("latency").alias("n")))
+
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS peer, row_number() OVER (ORDER BY s_acctbal - 100 * (s_suppkey % 3), CAST(s_suppkey AS VARCHAR)) AS place FROM supplier ORDER BY place LIMIT 10")
+def health_ranking(spark, d):
+    s = T.table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("peer"), routing.health_rank(F.col("s_acctbal"), F.col("s_suppkey") % 3).alias("rank"))
+    best = s.orderBy("rank", "peer").limit(10)
+    return best.select("peer", F.row_number().over(Window.orderBy("rank", "peer")).cast("long").alias("place"))
