@@ -15,6 +15,8 @@ from .functions import values as V
 from .operators import admission, index, merge, reputation, routing, state
 from .plans.nested import Graph, select
 from .sources import tables as T
+from .streaming import merges
+from .streaming.paths import fresh
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -438,3 +440,16 @@ def health_ranking(spark, d):
     s = T.table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("peer"), routing.health_rank(F.col("s_acctbal"), F.col("s_suppkey") % 3).alias("rank"))
     best = s.orderBy("rank", "peer").limit(10)
     return best.select("peer", F.row_number().over(Window.orderBy("rank", "peer")).cast("long").alias("place"))
+
+
+# Streams
+
+
+@query(ORACLES["lww_state"])
+def stream_merge(spark, d):
+    """The log as a stream: its change feed is stored, and the last change of each field is the state."""
+    rows = spark.readStream.schema(T.table(spark, d, "events").schema).parquet(f"{d}/events.parq*et")
+    stream = T.event_writes(spark, d, events=rows)
+    path = fresh(spark, "feed")
+    merges.persisted(merges.merged_stream(stream, ts_jump=float("inf"), lamport_jump=float("inf")), f"{path}/log", f"{path}/checkpoint").awaitTermination()
+    return _flat(merges.latest(spark.read.schema(merges.FEED).parquet(f"{path}/log")))

@@ -24,9 +24,9 @@ def millis(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp")) / 1000.0
 
 
-def event_writes(spark: SparkSession, sf_dir: str, ts: Column | None = None, lamport: Column | None = None) -> DataFrame:
+def event_writes(spark: SparkSession, sf_dir: str, ts: Column | None = None, lamport: Column | None = None, events: DataFrame | None = None) -> DataFrame:
     """events as a write log: soul user, field event_type, clock and order event_id."""
-    e = table(spark, sf_dir, "events")
+    e = table(spark, sf_dir, "events") if events is None else events
     clock = F.col("event_id").cast("double") if lamport is None else lamport
     return e.select(
         F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("soul"), F.col("event_type").alias("field"), V.number(F.col("value")).alias("value"),
