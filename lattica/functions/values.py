@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -141,4 +142,8 @@ def canonical_json(text: Column) -> Column:
         except ValueError:
             return None
 
-    return F.pandas_udf(lambda texts: texts.map(one), "string", F.PandasUDFType.SCALAR)(text)
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(one)
+
+    return run(text)
