@@ -11,10 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.crypto import hex_soul, work_done, work_hash
+from .reputation import throttle
 
 #: Penalties by reason.
 PENALTIES = {"parse": -1, "envelope": -1, "signature_missing": -3, "signature": -3, "clock": -1, "clock_order": -5, "work": -3, "ledger_length": -1}
-MOST_LEDGER = 20_000
+MOST_LEDGER, HELP = 20_000, 10.0
 
 
 def parsed(messages: DataFrame) -> DataFrame:
@@ -81,3 +82,23 @@ def gated(messages: DataFrame, signature_ok: Column | None = None) -> DataFrame:
     rows = rows.withColumn("reject", F.coalesce("reject", F.when(F.col("clock") <= before, "clock_order")))
     penalty = F.create_map(*(x for k, v in PENALTIES.items() for x in (F.lit(k), F.lit(v))))
     return rows.withColumn("penalty", F.coalesce(F.element_at(penalty, F.col("reject")), F.lit(0)))
+
+
+def throttled(messages: DataFrame, scores: DataFrame, verified: Column) -> DataFrame:
+    """messages with band (accept, queue, drop): the score of the sender if verified, else of the connection, unknown ones 0."""
+    key = F.when(verified, F.col("sender")).otherwise(F.col("conn").cast("string"))
+    known = scores.select(F.col("peer_id").cast("string").alias("key__"), "score")
+    rows = messages.withColumn("key__", key).join(known, "key__", "left")
+    return rows.withColumn("band", throttle(F.coalesce("score", F.lit(0.0)))).drop("key__", "score")
+
+
+def routing_help(messages: DataFrame, targets: DataFrame) -> DataFrame:
+    """conn, id, delta: connections that brought a message again by another way than those it was sent to.
+
+    messages: conn, seq, id, digest; targets: id, conn, where the message was sent. A later
+    arrival with the digest of the first earns HELP, once an id.
+    """
+    first = messages.groupBy("id").agg(F.min_by(F.struct("seq", "digest"), "seq").alias("f"))
+    again = messages.join(first, "id").where((F.col("seq") > F.col("f.seq")) & (F.col("digest") == F.col("f.digest")))
+    other = again.join(targets.select("id", "conn").distinct(), ["id", "conn"], "left_anti")
+    return other.groupBy("id").agg(F.min_by("conn", "seq").alias("conn")).select("conn", "id", F.lit(HELP).alias("delta"))

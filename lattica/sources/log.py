@@ -92,3 +92,16 @@ def load_snapshot(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.read.schema(schema).json(path)
     except AnalysisException:
         return spark.createDataFrame([], schema)
+
+
+LEDGER = "peer_id string, delta double, reason string, ts double, seq long"
+
+
+def append_ledger(entries: DataFrame, path: str) -> None:
+    """Adds reputation entries to their own log."""
+    entries.select(*(c.split()[0] for c in LEDGER.split(", "))).write.mode("append").json(path)
+
+
+def load_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The reputation log; malformed lines and those without a peer or delta are dropped."""
+    return load_snapshot(spark, path, LEDGER).where("peer_id is not null and delta is not null")

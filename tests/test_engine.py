@@ -45,6 +45,24 @@ def test_reputation(spark, deltas, score, restored, band):
     assert (r["score"], r["restored"], r["entries"], r["band"]) == (score, restored, len(deltas), band)
 
 
+def test_reputation_survives_a_restart(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    assert log.load_ledger(spark, path).count() == 0
+    log.append_ledger(ledger(spark, "p", [-3, -3]), path)
+    log.append_ledger(ledger(spark, "p", [-3, -3]).withColumn("seq", F.col("seq") + 2), path)
+    score = reputation.scores(log.load_ledger(spark, path))
+    assert score.first()["score"] == -12
+    messages = spark.createDataFrame([("p", "x"), ("q", "p"), ("q", None)], "conn string, sender string")
+    bands = [r["band"] for r in admission.throttled(messages, score, F.col("sender").isNotNull()).orderBy("conn", F.col("sender").desc_nulls_last()).collect()]
+    assert bands == ["accept", "drop", "accept"]
+
+
+def test_routing_help(spark):
+    rows = spark.createDataFrame([("a", 0, "m", "d"), ("b", 1, "m", "d"), ("c", 2, "m", "d"), ("e", 3, "n", "x"), ("f", 4, "n", "y")], "conn string, seq long, id string, digest string")
+    sent = spark.createDataFrame([("m", "b")], "id string, conn string")
+    assert [tuple(r) for r in admission.routing_help(rows, sent).collect()] == [("c", "m", 10.0)]
+
+
 def test_isolation_and_ledger(spark):
     r = spark.range(1).select(reputation.isolated(F.lit(-25.0)).alias("a"), reputation.isolated(F.lit(-25.0), -30.0).alias("b")).first()
     assert (r["a"], r["b"]) == (True, False)
