@@ -178,7 +178,7 @@ def scored(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLE
             yield pa.record_batch([batch.column(2).cast(pa.int32()), pa.array(got, pa.list_(pa.float64()))], names=["role", "x"])
 
     train = rows.where("role > 1").mapInArrow(seen, "role int, x array<double>").collect()  # at most most_labelled rows
-    x, bad = np.array([r["x"] for r in train]).reshape(len(train), -1), np.array([r["role"] == 3 for r in train], float)
+    x, bad = np.array([r["x"] for r in train]), np.array([r["role"] == 3 for r in train], float)
     model = None
     if 0 < bad.sum() < len(bad):
         mean, scale, w = fit(x, bad)

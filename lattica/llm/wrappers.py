@@ -14,6 +14,9 @@ without boxes and marks of navigation, headers, footers, sidebars, notices, adve
 and reader comments, without link lists and without template text. Every page of the host
 is read with its wrapper.
 
+Template text that stands inside a repeated group of article blocks, with no mark of its own,
+is part of that group and stays.
+
 Null and empty pages, and pages without text, give "". A null url is the host "". Repeated
 rows count as pages each. Pages of any length are read whole.
 """
