@@ -49,6 +49,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def sliced(batches, rows: int = 1000):
+    """The Arrow batches of a task in pieces of at most rows rows, so that few texts at a time become Python strings."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def range_bounds(df: DataFrame, key: str, n: int) -> list[int]:
     """At most n - 1 values of the integer column key that part it into ranges of about equal rows."""
     if n <= 1:

@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
-from .wordpieces import word_pieces
+from .common import materialize, sliced
+from .wordpieces import WordPieces
 
 CAPACITY = 2048
 PARTNERS = 24
@@ -34,8 +34,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
 
     def run(batches):
-        encoder = word_pieces(tokenizer)
-        for batch in batches:
+        encoder = WordPieces(tokenizer)  # of this task alone: a worker that lives on doesn't keep its words
+        for batch in sliced(batches):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             rows: list[tuple] = []
             for doc, raw in zip(ids, encoder.encode(texts), strict=True):

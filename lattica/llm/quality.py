@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, sliced
 
 MOST_LABELLED = 20_000
 FALSE_REJECTS = 0.003
@@ -38,7 +38,7 @@ PRIOR = 2.0
 LOW = -1.5
 STRIP = re.compile(r"^\W+|\W+$")
 TAIL = re.compile(r"[\W_]*$")
-CACHE = 300_000
+CACHE = 100_000
 
 
 class Features:
@@ -94,7 +94,7 @@ def _roles(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
 
 def _counted(batches):
     features, raw, target = Features(), np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-    for batch in batches:
+    for batch in sliced(batches):
         for text, role in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             for buckets in features.of(text):
                 np.add.at(raw, buckets, 1)
@@ -173,7 +173,7 @@ def scored(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLE
 
     def seen(batches):
         features = Features()
-        for batch in batches:
+        for batch in sliced(batches):
             got = [described(features, t, ratios)[1] for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(2).cast(pa.int32()), pa.array(got, pa.list_(pa.float64()))], names=["role", "x"])
 
@@ -187,7 +187,7 @@ def scored(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLE
 
     def run(batches):
         features = Features()
-        for batch in batches:
+        for batch in sliced(batches):
             got = [described(features, t, ratios) for t in batch.column(1).to_pylist()]
             if model is not None and got:
                 mean, scale, w, edge = model

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, materialize
+from .common import connected_components, cut, materialize, sliced
 
 BANDS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 RADIUS = 4
@@ -93,7 +93,7 @@ def wide_fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
     """doc_id, fp (a hash of the bits) and bits of every row of docs(doc_id, text)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             bits = [wide_fingerprint(t, words) for t in batch.column(1).to_pylist()]
             fps = np.array([xxhash.xxh64_intdigest(b) for b in bits], np.uint64).view(np.int64)
             yield pa.record_batch([batch.column(0), pa.array(fps), pa.array(bits, pa.binary())], names=["doc_id", "fp", "bits"])
@@ -115,7 +115,7 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long) of every row of docs(doc_id, text)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             fps = [fingerprint(t, words) for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "fp"])
 

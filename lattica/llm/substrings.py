@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, materialize, sliced
 
 WINDOW = 35
 SEED = 8
@@ -135,7 +135,7 @@ def _variants(window: int):
 def _shrunk(batches):
     """Texts compressed for the shuffle."""
     pack = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
+    for batch in sliced(batches):
         z = [pack.compress(_encoded(t)) if t else b"" for t in batch.column(2).to_pylist()]
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(z, pa.binary()), *(batch.column(i) for i in range(3, batch.num_columns))], names=["doc", "h", "z", *batch.schema.names[3:]])
 
@@ -178,7 +178,7 @@ def parsed(docs: DataFrame, render, schema: str, window: int = WINDOW, extra: li
 
     def run(batches):
         open_z = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in sliced(batches):
             docs_, zs = (batch.column(i).to_pylist() for i in (0, 1))
             spans = (factors(x.values.to_numpy(zero_copy_only=False), window) if x.is_valid else [] for x in batch.column(2))
             out = [(None if d == -(1 << 63) else d, *render(open_z.decompress(z) if z else b"", s)) for d, z, s in zip(docs_, zs, spans, strict=True)]
