@@ -237,6 +237,44 @@ def test_decontamination(spark, none):
     assert decontaminate.leaks(none, bench).count() == 0
 
 
+def test_decontamination_of_a_large_benchmark(spark):
+    own = random.Random(17)
+    words = [f"v{k}" for k in range(9000)]
+    text = lambda n: [own.choice(words) for _ in range(n)]
+    items = [text(own.choice((5, 9, 20, 28, 45, 70))) for _ in range(3000)]
+    rows, want = [], set()
+    for d, i in enumerate(range(0, 3000, 5)):
+        item = items[i]
+        if d % 2 and len(item) >= 20:  # every fourth word another, the answer as it is
+            item = [w if k % 4 or k >= len(item) * 4 // 5 else own.choice(words) for k, w in enumerate(item)]
+        rows.append((d, " ".join(text(own.randrange(90)) + item + text(own.randrange(90)))))
+        want.add((d, i))
+    rows += [(1000 + d, " ".join(text(150))) for d in range(300)]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    found = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), bench).collect()
+    got = {(r["doc_id"], r["item_id"]) for r in found}
+    assert got == want
+
+
+def test_exact_search_equals_brute_force():
+    own = random.Random(5)
+    words = [f"v{k}" for k in range(60)]
+    text = lambda n: [own.choice(words) for _ in range(n)]
+    items = [text(n) for n in (1, 2, 3, 4, 6, 8, 11, 15, 24, 40)]
+    docs = [text(own.randrange(1, 150)) + [w for w in own.choice(items) if own.random() < 0.8] + text(own.randrange(150)) for _ in range(60)] + [[]]
+    want = set()
+    for d, doc in enumerate(docs):
+        for i, item in enumerate(items):
+            n = len(item)
+            size = n + 2 * max(4, n // 4) if n >= 4 else n
+            spans = [doc[s : s + size] for s in range(max(1, len(doc) - size + 1))]
+            if any(item == x if n < 4 else decontaminate.leaked(item, x)[0] for x in spans):
+                want.add((d, i))
+    exact = decontaminate._Exact(list(enumerate(items)), np.ones(decontaminate.TERMS + 1, np.float32))
+    blocks = exact.candidates([exact.terms.of(" ".join(x)) for x in docs])
+    assert {(d, i) for d, i, item, start, end in blocks if exact.leak(item, docs[d][start:end])} == want
+
+
 def test_common_subsequence():
     def plain(a, b):
         row = [0] * (len(b) + 1)
