@@ -1,16 +1,21 @@
 """Stupid-backoff language-model scores of every document under counts of the whole corpus.
 
-The model is a bigram model over the VOCABULARY most frequent words (whole ties only, so
-never more) and one class for all other words; words are white-space separated, lower case.
+The model is a bigram model over all words, each by its own count; words are white-space
+separated, lower case. Only where a caller names most_words is it one over the most frequent
+words (whole ties only, so never more) and one class for all others.
 A word scores c(v w) / c(v) where the pair occurs at least LEAST times, else
 0.4 c(w) / N; the first word of a document c(w) / N. A document's score is the sum of logs.
 
-Counts and n-grams meet by hash. Word counts are a table partitioned by word hash. Each
+At most VOCABULARY frequent words have short numbers, for packing; the others go by 64-bit
+hashes, which changes no result. Counts and n-grams meet by hash. Word counts are a table partitioned by word hash. Each
 document's pairs are exploded, packed by chunk of documents and hash bucket, and shuffled
 once: a bucket holds every occurrence of its pairs, so it counts them, joins the counts to
 the occurrences and sums by document; partial sums go back to their chunk and are added.
 Pairs of the HOT most frequent words, which could fill a bucket on their own, are counted as
-one dense matrix first and never shuffled. The number of buckets follows the input.
+one dense matrix first and never shuffled. Pairs with a word without a number are joined in the
+same way by their hashes; the counts of such words that a pair's score asks for are then joined
+by word hash, from the table of word counts, and go back to the chunk with the other sums.
+The number of buckets is that of the session's shuffle partitions.
 
 Null and empty texts have no words, score 0 and no mean. Every row is scored by itself,
 repeated rows and null ids too. An empty table gives no rows.
@@ -77,37 +82,44 @@ def vocabulary(counts: DataFrame, most: int = VOCABULARY) -> tuple[np.ndarray, n
     return hashes[order], ns[order], total
 
 
+def _rare(h: int) -> int:
+    """The hash of a word without a number as an unsigned long beyond all numbers."""
+    return max(h & (1 << 64) - 1, VOCABULARY + 1)
+
+
 class _Ids:
-    """Numbers of words: 1 for the most frequent, 0 for those outside the vocabulary."""
+    """Numbers of words: 1 for the most frequent; for those outside the vocabulary 0, or if whole their hashes."""
 
-    def __init__(self, hashes: np.ndarray):
+    def __init__(self, hashes: np.ndarray, whole: bool = False):
+        self.whole = whole
         self.ranks = {h: i + 1 for i, h in enumerate(hashes.tolist())}
         self.known: dict[str, int] = {}
 
     def of(self, text: str | None) -> np.ndarray:
         words, known = _words(text), self.known
         try:
-            return np.fromiter(map(known.__getitem__, words), np.uint32, len(words))
+            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         except KeyError:
             if len(known) > CACHE:
                 known.clear()
             for w in words:
                 if w not in known:
-                    known[w] = self.ranks.get(_hash(w), 0)
-            return np.fromiter(map(known.__getitem__, words), np.uint32, len(words))
+                    h = _hash(w)
+                    known[w] = self.ranks.get(h) or (_rare(h) if self.whole else 0)
+            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
-def _hot_pairs(texts: DataFrame, hashes: np.ndarray) -> np.ndarray:
+def _hot_pairs(texts: DataFrame, hashes: np.ndarray, whole: bool) -> np.ndarray:
     """Counts of the pairs of the HOT most frequent words and the class of the others."""
     width = HOT + 1
 
     def run(batches):
-        ids, sums = _Ids(hashes), np.zeros(width * width, np.int64)
+        ids, sums = _Ids(hashes, whole), np.zeros(width * width, np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 x = ids.of(text)
-                a, b = x[:-1], x[1:]
-                hot = (a <= HOT) & (b <= HOT)
+                a, b = x[:-1].astype(np.int64), x[1:].astype(np.int64)
+                hot = (x[:-1] <= HOT) & (x[1:] <= HOT)
                 sums += np.bincount(a[hot] * width + b[hot], minlength=width * width)
         at = range(0, width * width, width)
         yield pa.record_batch([pa.array([k // width for k in at], pa.int32()), pa.array([sums[k : k + width] for k in at], pa.list_(pa.int64()))], names=["a", "ns"])
@@ -140,8 +152,10 @@ def _unpacked(raw: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-PACKED = "bucket int, chunk long, head boolean, data binary"
-NAMES, TYPES = ["bucket", "chunk", "head", "data"], [pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
+#: What data holds: of a document or more their sums, pairs by number, pairs by hash, counts asked for, counts of words.
+HEAD, SUMS, PAIRS, RARE, ASKED, COUNTS = 5, 4, 3, 2, 1, 0
+PACKED = "bucket int, chunk long, kind int, data binary"
+NAMES, TYPES = ["bucket", "chunk", "kind", "data"], [pa.int32(), pa.int64(), pa.int32(), pa.binary()]
 
 
 def _batch(rows: list[tuple]):
@@ -163,9 +177,33 @@ class Scores:
         return np.where(n >= LEAST, np.log(np.maximum(n, 1)) - self.log[v], np.log(BACKOFF) + self.log[w] - self.total)
 
 
-def _exploded(hashes, counts, total, hot, buckets):
+def _dealt(place: np.ndarray, buckets: int, *arrays: np.ndarray):
+    """(bucket, its part of the arrays) for every bucket that place has."""
+    order = np.argsort(place, kind="stable")
+    cuts = np.searchsorted(place[order], np.arange(buckets + 1))
+    for p in np.flatnonzero(np.diff(cuts)).tolist():
+        part = order[cuts[p] : cuts[p + 1]]
+        yield p, [a[part] for a in arrays]
+
+
+def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
+    key = key * np.uint64(0x9E3779B97F4A7C15)
+    return ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _grouped(*arrays: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, starts): rows sorted by the arrays, the first most significant, and where runs of equal rows start."""
+    order = np.lexsort(arrays[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for a in arrays:
+        new[1:] |= a[order][1:] != a[order][:-1]
+    return order, np.flatnonzero(new)
+
+
+def _exploded(hashes, counts, total, hot, buckets, whole):
     def run(batches):
-        ids, scores, k = _Ids(hashes), Scores(counts, total), 0
+        ids, scores, k = _Ids(hashes, whole), Scores(counts, total), 0
         spot = TaskContext.get().partitionId() << 32
         for batch in batches:
             for at in range(0, batch.num_rows, CHUNK):
@@ -173,61 +211,131 @@ def _exploded(hashes, counts, total, hot, buckets):
                 xs = [ids.of(t) for t in few.column(1).to_pylist()]
                 doc = few.column(0)
                 flat, owner = np.concatenate(xs), np.repeat(np.arange(len(xs), dtype=np.uint64), [len(x) for x in xs])
-                sums = np.array([float(scores.first(x[0])) if len(x) else 0.0 for x in xs])
+                begins = np.array([x[0] if len(x) else 0 for x in xs], np.uint64)
+                known, there = begins <= VOCABULARY, np.array([len(x) > 0 for x in xs])
+                sums = np.where(there, np.where(known, scores.log[np.where(known, begins, 0).astype(np.int64)], 0.0) - scores.total, 0.0)
+                asked = np.flatnonzero(there & ~known)
                 a, b, same = flat[:-1], flat[1:], owner[:-1] == owner[1:]
                 near = same & (a <= HOT) & (b <= HOT)
-                np.add.at(sums, owner[:-1][near].astype(np.int64), scores.pair(a[near], b[near], hot[a[near], b[near]]))
-                far = same & ~near
+                np.add.at(sums, owner[:-1][near].astype(np.int64), scores.pair(a[near].astype(np.int64), b[near].astype(np.int64), hot[a[near].astype(np.int64), b[near].astype(np.int64)]))
+                short = (a <= VOCABULARY) & (b <= VOCABULARY)
+                far, rare = same & ~near & short, same & ~short
                 pairs, n = np.unique(owner[:-1][far] << np.uint64(32) | a[far].astype(np.uint64) << np.uint64(16) | b[far].astype(np.uint64), return_counts=True)
                 key, own = (pairs & np.uint64(0xFFFFFFFF)).astype("<u4"), (pairs >> np.uint64(32)).astype("<u2")
                 place = ((key.astype(np.uint64) * np.uint64(0x9E3779B1) & np.uint64(0xFFFFFFFF)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-                order = np.argsort(place, kind="stable")
-                cuts = np.searchsorted(place[order], np.arange(buckets + 1))
                 chunk = spot + k
                 known = np.asarray(doc.is_valid())
-                rows = [(int(chunk % buckets), chunk, True, _packed(np.asarray(doc.fill_null(0)), known.astype("<u1"), np.array([len(x) for x in xs], "<u4"), sums))]
-                for p in np.flatnonzero(np.diff(cuts)).tolist():
-                    part = order[cuts[p] : cuts[p + 1]]
-                    rows.append((p, chunk, False, _packed(own[part], key[part], n[part].astype("<u4"))))
+                rows = [(int(chunk % buckets), chunk, HEAD, _packed(np.asarray(doc.fill_null(0)), known.astype("<u1"), np.array([len(x) for x in xs], "<u4"), sums))]
+                rows += [(p, chunk, PAIRS, _packed(*x)) for p, x in _dealt(place, buckets, own, key, n.astype("<u4"))]
+                o, v, w = owner[:-1][rare], a[rare], b[rare]
+                order, starts = _grouped(o, v, w)
+                first = order[starts]
+                o, v, w, n = o[first].astype("<u2"), v[first], w[first], np.diff(np.r_[starts, len(order)]).astype("<u4")
+                rows += [(p, chunk, RARE, _packed(*x)) for p, x in _dealt(_bucket(v * np.uint64(0xBF58476D1CE4E5B9) + w, buckets), buckets, o, v, w, n)]
+                rows += [(p, chunk, ASKED, _packed(*x)) for p, x in _dealt(_bucket(begins[asked], buckets), buckets, asked.astype("<u2"), begins[asked], np.ones(len(asked), "<i4"))]
                 yield _batch(rows)
                 k += 1
 
     return run
 
 
-def _joined(counts, total):
-    """Rows sorted by bucket: the heads pass, the others become partial sums by document of the chunk."""
+def _by_bucket(passing, flush):
+    """Rows sorted by bucket: those of kinds in passing pass, the others of a bucket go to flush(bucket, rows) together."""
 
     def run(batches):
-        scores, bucket, held = Scores(counts, total), None, []
-
-        def flush():
-            parts = [_unpacked(data, "<u2", "<u4", "<u4") for _, data in held]
-            keys, which = np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True)
-            ns = np.concatenate([p[2] for p in parts])
-            total_n = np.bincount(which, ns, len(keys)).astype(np.int64)
-            each = scores.pair(keys >> 16, keys & 0xFFFF, total_n)[which] * ns
-            at, out = 0, []
-            for (chunk, _), (own, _, _) in zip(held, parts, strict=True):
-                docs, where = np.unique(own, return_inverse=True)
-                out.append((bucket, chunk, False, _packed(docs, np.bincount(where, each[at : at + len(own)], len(docs)))))
-                at += len(own)
-            return out
-
+        bucket, held = None, []
         for batch in batches:
             rows = []
-            for b, chunk, head, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for b, chunk, kind, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if b != bucket and held:
-                    rows += flush()
+                    rows += flush(bucket, held)
                     held = []
                 bucket = b
-                if head:
-                    rows.append((b, chunk, True, data))
+                if kind in passing:
+                    rows.append((b, chunk, kind, data))
                 else:
-                    held.append((chunk, data))
+                    held.append((chunk, kind, data))
             yield _batch(rows)
         if held:
-            yield _batch(flush())
+            yield _batch(flush(bucket, held))
+
+    return run
+
+
+def _summed(bucket, chunk, own, each):
+    docs, where = np.unique(own, return_inverse=True)
+    return bucket, chunk, SUMS, _packed(docs, np.bincount(where, each, len(docs)))
+
+
+def _joined(counts, total, buckets):
+    """Rows sorted by bucket: pairs become sums by document of the chunk, and the word counts they ask for."""
+    scores = Scores(counts, total)
+
+    def short(bucket, held):
+        parts = [_unpacked(data, "<u2", "<u4", "<u4") for _, data in held]
+        keys, which = np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True)
+        ns = np.concatenate([p[2] for p in parts])
+        total_n = np.bincount(which, ns, len(keys)).astype(np.int64)
+        each = scores.pair(keys >> 16, keys & 0xFFFF, total_n)[which] * ns
+        at = 0
+        for (chunk, _), (own, _, _) in zip(held, parts, strict=True):
+            yield _summed(bucket, chunk, own, each[at : at + len(own)])
+            at += len(own)
+
+    def long(bucket, held):
+        parts = [_unpacked(data, "<u2", "<u8", "<u8", "<u4") for _, data in held]
+        v, w, ns = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))
+        order, starts = _grouped(v, w)
+        together = np.zeros(len(v), np.int64)
+        together[order] = np.repeat(np.add.reduceat(ns[order].astype(np.int64), starts), np.diff(np.r_[starts, len(order)]))
+        often = together >= LEAST
+        word = np.where(often, v, w)  # whose count the score has: less that of v, or plus that of w
+        sign = np.where(often, -1, 1) * ns.astype(np.int64)
+        known = word <= VOCABULARY
+        each = np.where(often, np.log(together), np.log(BACKOFF) - scores.total) * ns + np.where(known, scores.log[np.where(known, word, 0).astype(np.int64)], 0.0) * sign
+        at = 0
+        for (chunk, _), (own, _, _, _) in zip(held, parts, strict=True):
+            here = slice(at, at + len(own))
+            yield _summed(bucket, chunk, own, each[here])
+            ask = ~known[here]
+            for p, x in _dealt(_bucket(word[here][ask], buckets), buckets, own[ask], word[here][ask], sign[here][ask].astype("<i4")):
+                yield p, chunk, ASKED, _packed(*x)
+            at += len(own)
+
+    def flush(bucket, held):
+        out = []
+        for kind, joined in ((PAIRS, short), (RARE, long)):
+            own = [(chunk, data) for chunk, k, data in held if k == kind]
+            out += joined(bucket, own) if own else []
+        return out
+
+    return _by_bucket((HEAD, ASKED), flush)
+
+
+def _answered(bucket, held):
+    """The counts asked for, from the counts of the bucket's words, as sums by document of the chunk."""
+    tables = [_unpacked(data, "<u8", "<i8") for _, kind, data in held if kind == COUNTS]
+    words, ns = (np.concatenate([t[i] for t in tables] or [np.zeros(0, np.uint64)]) for i in (0, 1))
+    order = np.argsort(words)
+    words, logs = words[order], np.log(ns[order])
+    out = []
+    for chunk, kind, data in held:
+        if kind == ASKED:
+            own, word, sign = _unpacked(data, "<u2", "<u8", "<i4")
+            out.append(_summed(bucket, chunk, own, logs[np.searchsorted(words, word)] * sign))
+    return out
+
+
+def _counts_packed(hashes, buckets):
+    """Rows (word, n) of words without a number, packed by bucket."""
+
+    def run(batches):
+        numbered = np.sort(hashes)
+        for batch in batches:
+            word, n = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            rare = ~np.isin(word, numbered)
+            key = np.maximum(word[rare].view(np.uint64), np.uint64(VOCABULARY + 1))
+            yield _batch([(p, -1, COUNTS, _packed(*x)) for p, x in _dealt(_bucket(key, buckets), buckets, key, n[rare])])
 
     return run
 
@@ -243,8 +351,8 @@ def _added(batches):
         return pa.record_batch([pa.array(doc, mask=known == 0), pa.array(n.astype(np.int64)), score, mean], names=["doc_id", "n_words", "log_score", "mean_log_score"])
 
     for batch in batches:
-        for _, _, head, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            if head:
+        for _, _, kind, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if kind == HEAD:
                 if now is not None:
                     yield flush()
                 doc, known, n, sums = _unpacked(data, "<i8", "<u1", "<u4", "<f8")
@@ -256,17 +364,21 @@ def _added(batches):
         yield flush()
 
 
-def stupid_backoff(docs: DataFrame, most_words: int = VOCABULARY) -> DataFrame:
-    """doc_id, n_words, log_score, mean_log_score of every row of docs(doc_id, text)."""
+def stupid_backoff(docs: DataFrame, most_words: int | None = None) -> DataFrame:
+    """doc_id, n_words, log_score, mean_log_score of every row of docs(doc_id, text); with most_words one class for all words beyond the most frequent."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     texts = rows.select("text")
-    spark = docs.sparkSession
-    hashes, counts, total = vocabulary(materialize(word_counts(texts), "words"), most_words)
-    hot = _hot_pairs(texts, hashes)
+    spark, whole = docs.sparkSession, most_words is None
+    each = materialize(word_counts(texts), "words")
+    hashes, counts, total = vocabulary(each, VOCABULARY if whole else most_words)
+    hot = _hot_pairs(texts, hashes, whole)
     buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    exploded = rows.mapInArrow(_exploded(hashes, counts, total, hot, buckets), PACKED)
-    joined = exploded.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_joined(counts, total), PACKED)
-    back = joined.repartition("chunk").sortWithinPartitions("chunk", F.desc("head"))
+    exploded = rows.mapInArrow(_exploded(hashes, counts, total, hot, buckets, whole), PACKED)
+    joined = exploded.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_joined(counts, total, buckets), PACKED)
+    if whole and int(counts.sum()) < total:
+        asked = joined.union(each.select("word", "n").mapInArrow(_counts_packed(hashes, buckets), PACKED))
+        joined = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_by_bucket((HEAD, SUMS), _answered), PACKED)
+    back = joined.repartition("chunk").sortWithinPartitions("chunk", F.desc("kind"))
     return back.mapInArrow(_added, "doc_id long, n_words long, log_score double, mean_log_score double")
 
 

@@ -211,6 +211,29 @@ def test_language_model(docs, none):
     assert ngram_scores.stupid_backoff(none).count() == 0
 
 
+@pytest.mark.parametrize("numbered", [0, 40, 65_535])
+def test_every_word_has_its_own_count(spark, monkeypatch, numbered):
+    monkeypatch.setattr(ngram_scores, "VOCABULARY", numbered)
+    monkeypatch.setattr(ngram_scores, "HOT", 8)
+    own = random.Random(9)
+    words = [f"{k:x}" for k in range(80_000)]
+    texts = [[own.choice(words[: own.choice((20, 300, 80_000))]) for _ in range(own.randrange(40))] for _ in range(300)]
+    if numbered == 65_535:  # more words of one count than there are numbers
+        texts += [words[at : at + 2000] for at in range(0, 80_000, 2000)]
+    texts += [None, ["twice", "twice", "twice"]]
+    uni = collections.Counter(w for x in texts for w in x or [])
+    pairs = collections.Counter(p for x in texts for p in zip(x or [], (x or [])[1:], strict=False))
+    total, want = sum(uni.values()), {}
+    for d, x in enumerate(texts):
+        score = math.log(uni[x[0]] / total) if x else 0.0
+        for v, w in zip(x or [], (x or [])[1:], strict=False):
+            score += math.log(pairs[v, w] / uni[v]) if pairs[v, w] >= 2 else math.log(0.4 * uni[w] / total)
+        want[d] = (len(x or []), round(score, 5))
+    rows = spark.createDataFrame([(d, None if x is None else " ".join(x)) for d, x in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = ngram_scores.stupid_backoff(rows).collect()
+    assert len(got) == len(texts) and {r["doc_id"]: (r["n_words"], round(r["log_score"], 5)) for r in got} == want
+
+
 def test_quality(spark, docs, none):
     good, bad = [f"g{i}" for i in range(60)], [f"b{i}" for i in range(30)]
     text = lambda k: " ".join(rng.choice(bad if k % 3 == 0 and rng.random() < 0.3 else good) for _ in range(80))
