@@ -384,10 +384,19 @@ SELECT soul, peer FROM m JOIN t USING (soul) WHERE k <= 3
 UNION SELECT soul, peer FROM t, p WHERE place BETWEEN 4 AND 5
 UNION SELECT soul, peer FROM s, p WHERE soul NOT IN (SELECT soul FROM t)""")
 def route_peers(spark, d):
-    """The peers of each write; keys share one hex digit here, so that buckets have members."""
+    """The peers of the writes of the first customers; keys share one hex digit here, so that buckets have members."""
+    return _routes(spark, d, T.table(spark, d, "customer").where("c_custkey <= 200"))
+
+
+@query()
+def route_all_peers(spark, d):
+    """The peers of each write, of every customer."""
+    return _routes(spark, d, T.table(spark, d, "customer"))
+
+
+def _routes(spark, d, c: DataFrame) -> DataFrame:
     key = F.col("s_suppkey").cast("string")
     peers = T.table(spark, d, "supplier").select(key.alias("peer"), F.col("s_acctbal").alias("latency"), (F.col("s_suppkey") % 3).cast("double").alias("loss"), F.when(F.col("s_suppkey") % 10 != 0, F.substring(F.sha2(key, 256), 1, 1)).alias("routing_key"))
-    c = T.table(spark, d, "customer").where("c_custkey <= 200")
     name = F.col("c_custkey").cast("string")
     souls = c.select(F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit("plain:"), name)).otherwise(F.sha2(name, 256)).alias("soul"))
     return routing.routes(souls, peers, n=1)

@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from lattica import registry
 from lattica.functions import crypto
 from lattica.operators import admission, merge, mutate, reputation, routing
 from lattica.operators.merge import WRITE
@@ -130,6 +131,22 @@ def test_routes(spark):
     assert (r["a"], r["b"], r["c"]) == (16000, 60000, 2)
 
 
+def test_every_customer_is_routed(spark, tmp_path):
+    customers, suppliers = range(1, 301), [(k, (k * 37 % 101) / 2) for k in range(1, 41)]
+    spark.createDataFrame([(k,) for k in customers], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame(suppliers, "s_suppkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    digest = lambda k: hashlib.sha256(str(k).encode()).hexdigest()
+    peers = sorted((latency - 100 * (k % 3), str(k), digest(k)[0] if k % 10 else None) for k, latency in suppliers)
+    want = set()
+    for c in customers:
+        soul = digest(c) if c % 5 else f"plain:{c}"
+        near = [p for _, p, key in peers if key is None or soul[0] == key][:3] if c % 5 else []
+        to = [*near, *(p for _, p, _ in peers[3:5])] if len(near) >= 2 else [p for _, p, _ in peers]
+        want |= {(soul, p) for p in to}
+    got = [tuple(r) for r in registry.QUERIES["route_all_peers"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_stream(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     rows = [("n", "f", mutate.tagged(v), float(t), float(c), q) for q, (v, t, c) in enumerate([("A", 0, 1), ("B", 100, 1), ("C", 50, 1)])]
