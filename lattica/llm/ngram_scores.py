@@ -232,7 +232,7 @@ def _exploded(hashes, counts, total, hot, buckets, whole):
                 first = order[starts]
                 o, v, w, n = o[first].astype("<u2"), v[first], w[first], np.diff(np.r_[starts, len(order)]).astype("<u4")
                 rows += [(p, chunk, RARE, _packed(*x)) for p, x in _dealt(_bucket(v * np.uint64(0xBF58476D1CE4E5B9) + w, buckets), buckets, o, v, w, n)]
-                rows += [(p, chunk, ASKED, _packed(*x)) for p, x in _dealt(_bucket(begins[asked], buckets), buckets, asked.astype("<u2"), begins[asked], np.ones(len(asked), "<i4"))]
+                rows += [(p, chunk, ASKED, _packed(*x)) for p, x in _dealt(_bucket(begins[asked], buckets), buckets, np.full(len(asked), chunk, "<i8"), asked.astype("<u2"), begins[asked], np.ones(len(asked), "<i4"))]
                 yield _batch(rows)
                 k += 1
 
@@ -297,10 +297,11 @@ def _joined(counts, total, buckets):
         for (chunk, _), (own, _, _, _) in zip(held, parts, strict=True):
             here = slice(at, at + len(own))
             yield _summed(bucket, chunk, own, each[here])
-            ask = ~known[here]
-            for p, x in _dealt(_bucket(word[here][ask], buckets), buckets, own[ask], word[here][ask], sign[here][ask].astype("<i4")):
-                yield p, chunk, ASKED, _packed(*x)
             at += len(own)
+        # all chunks' questions to a bucket of words in one row
+        ask, chunks = ~known, np.repeat(np.array([chunk for chunk, _ in held], "<i8"), [len(p[0]) for p in parts])
+        for p, x in _dealt(_bucket(word[ask], buckets), buckets, chunks[ask], np.concatenate([p[0] for p in parts])[ask], word[ask], sign[ask].astype("<i4")):
+            yield p, -1, ASKED, _packed(*x)
 
     def flush(bucket, held):
         out = []
@@ -318,12 +319,14 @@ def _answered(bucket, held):
     words, ns = (np.concatenate([t[i] for t in tables] or [np.zeros(0, np.uint64)]) for i in (0, 1))
     order = np.argsort(words)
     words, logs = words[order], np.log(ns[order])
-    out = []
-    for chunk, kind, data in held:
-        if kind == ASKED:
-            own, word, sign = _unpacked(data, "<u2", "<u8", "<i4")
-            out.append(_summed(bucket, chunk, own, logs[np.searchsorted(words, word)] * sign))
-    return out
+    asked = [_unpacked(data, "<i8", "<u2", "<u8", "<i4") for _, kind, data in held if kind == ASKED]
+    if not asked:
+        return []
+    chunks, own, word, sign = (np.concatenate([x[i] for x in asked]) for i in range(4))
+    each = logs[np.searchsorted(words, word)] * sign
+    order = np.argsort(chunks, kind="stable")
+    ids, starts = np.unique(chunks[order], return_index=True)
+    return [_summed(bucket, c, own[part], each[part]) for c, part in zip(ids.tolist(), np.split(order, starts[1:]), strict=True)]
 
 
 def _counts_packed(hashes, buckets):
