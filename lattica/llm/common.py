@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
 import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space: what separates words in every operator of this package.
@@ -24,11 +30,11 @@ def lower_ascii(text: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else one beside the warehouse; in local mode a temporary one."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="spark-")
+        named = tempfile.mkdtemp(prefix="spark-") if re.match(r"local(\[|$)", sc.master) else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
     return named.rstrip("/")
@@ -56,25 +62,115 @@ def sliced(batches, rows: int = 1000):
             yield batch.slice(at, rows)
 
 
-def range_bounds(df: DataFrame, key: str, n: int) -> list[int]:
-    """At most n - 1 values of the integer column key that part it into ranges of about equal rows."""
-    if n <= 1:
-        return []
-    probs = [i / n for i in range(1, n)]
-    row = df.agg(F.percentile_approx(key, probs, max(10_000, 20 * n)).alias("q"), F.min(key).alias("low")).first()
-    return sorted({q for q in (row["q"] or []) if q > row["low"]})
+def lean(run):
+    """run, a function on the Arrow batches of a task, that gives memory back when the task ends: workers live on between stages."""
 
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
 
-def with_range(df: DataFrame, key: str, bounds: list[int], out: str) -> DataFrame:
-    """Adds the number of the range that key falls in: 0 below bounds[0]. Null keys are in range 0."""
-    from pyspark.ml.feature import Bucketizer
+    return wrapped
 
-    if not bounds:
-        return df.withColumn(out, F.lit(0))
-    splits = [-float("inf"), *map(float, bounds), float("inf")]
-    keyed = df.withColumn(f"{out}__d", F.coalesce(F.col(key).cast("double"), F.lit(float(bounds[0]) - 1)))
-    cut_up = Bucketizer(splits=splits, inputCol=f"{out}__d", outputCol=f"{out}__b").transform(keyed)
-    return cut_up.withColumn(out, F.col(f"{out}__b").cast("int")).drop(f"{out}__d", f"{out}__b")
+
+def release() -> None:
+    """Returns what Arrow's and the C library's allocators hold but don't use."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+#: The key of rows without one: they come first.
+NO_KEY = -(1 << 63)
+
+
+class Ranges:
+    """Ranges of (long key, hash of the row) in order, by their bounds.
+
+    A bound begins a range. A key that is a bound several times fills as many ranges, which
+    divide its rows by the hash.
+    """
+
+    def __init__(self, bounds: list[int]):
+        self.bounds = np.array(sorted(bounds), np.int64)
+        self.divided = bool((self.bounds[1:] == self.bounds[:-1]).any())
+
+    def __len__(self) -> int:
+        return len(self.bounds) + 1
+
+    def of(self, keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        low, high = (np.searchsorted(self.bounds, keys, side) for side in ("left", "right"))
+        out, times = low + (high > low), high - low
+        many = np.flatnonzero(times > 1)
+        if len(many):
+            places = (hashes[many].view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)
+            out[many] += ((places * times[many].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+        return out
+
+    def spanned(self, key: int) -> range:
+        """The ranges that rows of a key may be in."""
+        low, high = (int(np.searchsorted(self.bounds, key, side)) for side in ("left", "right"))
+        return range(low + (high > low), high + 1)
+
+
+def keyed(key: str = "doc_id") -> Column:
+    return F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY))
+
+
+def key_ranges(df: DataFrame, rows: int, key: str = "doc_id", most: int = 20_000) -> Ranges:
+    """Ranges of about rows rows each, at most `most` of them. Bounds are long; only how evenly they lie depends on the sketch."""
+    own = F.col(key).cast("long")
+    n, there, low = df.agg(F.count(F.lit(1)), F.count(own), F.min(own)).first()
+    rows = max(rows, -(-n // most))
+    bounds = [NO_KEY] * ((n - there) // rows)
+    k = there // rows
+    if k > 1:
+        probs = [i / k for i in range(1, k)]
+        above = (own.cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")).cast("double")  # from the least key on, so that close keys stay apart
+        q = df.where(own.isNotNull()).agg(F.percentile_approx(above, probs, max(10_000, 20 * k)).alias("q")).first()["q"]
+        bounds += [min(low + int(x), (1 << 63) - 1) for x in q]
+    return Ranges(bounds)
+
+
+class KeyFilter:
+    """Says of long keys whether a table may have them: a bitmap of 16 bits a key, MOST_BITS at most, so its size is bounded.
+
+    Beyond that it lets more keys through; whoever asks joins afterwards.
+    """
+
+    MOST_BITS = 1 << 27
+
+    def __init__(self, spark: SparkSession, bitmap: np.ndarray, bits: int):
+        self.bits, self.sent = bits, spark.sparkContext.broadcast(bitmap)
+
+    @staticmethod
+    def place(keys: np.ndarray, bits: int) -> np.ndarray:
+        mixed = keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> np.uint64(32) & np.uint64(bits - 1)).astype(np.int64)
+
+    @classmethod
+    def of(cls, df: DataFrame, key: str) -> KeyFilter:
+        """df: a table that is written already, as it is read twice."""
+        bits = min(cls.MOST_BITS, 1 << max(10, (16 * df.count()).bit_length()))
+
+        def run(batches):
+            for batch in batches:
+                yield pa.record_batch([pa.array(np.unique(cls.place(np.asarray(batch.column(0)), bits)))], names=["at"])
+
+        places = df.select(F.col(key).alias("key")).mapInArrow(run, "at long").distinct()
+        places = places.groupBy(F.shiftright("at", 12).alias("block")).agg(F.collect_list(F.col("at").bitwiseAND(F.lit((1 << 12) - 1)).cast("int")).alias("ats"))
+        bitmap = np.zeros(bits >> 3, np.uint8)
+        for r in places.toLocalIterator():  # at most MOST_BITS numbers
+            ats = np.array(r["ats"], np.int64) + (r["block"] << 12)
+            np.bitwise_or.at(bitmap, ats >> 3, (1 << (ats & 7)).astype(np.uint8))
+        return cls(df.sparkSession, bitmap, bits)
+
+    def may_have(self, keys: np.ndarray) -> np.ndarray:
+        at = self.place(keys, self.bits)
+        return (self.sent.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
