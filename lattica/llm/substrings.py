@@ -1,20 +1,24 @@
 """Substring dedup by relative Lempel-Ziv factors over an index of all documents.
 
 Words are runs of anything but ASCII white space, unchanged. Every document is a reference:
-its windows of `window` words are indexed by hash in blocks that Spark deals by key, and
-every document is parsed greedily against all blocks into literals and factors. A factor is
-a longest run of words all of whose windows occur elsewhere in the index too, in the same
-document or another; at its ends each window that crosses the boundary has been looked up by
-itself, so a factor neither stops short nor runs over. Factors of at least `window` words
-are duplicate spans.
+its windows of `window` words are indexed by hash in blocks that Spark deals by key. Every
+document is parsed against the whole index into literals and factors (reference document,
+reference position, length): a window that the index holds elsewhere too, in the same document
+or another, begins a factor, and the factor goes on greedily for as long as the next window
+stands at the next place of the same reference. The reference's words are then fetched and
+compared word by word from one end of the factor to the other: hashes only propose. What is
+equal for `window` words or more is a duplicate span.
 
 Most windows are never shuffled. Each window elects an anchor, the least hash of its runs of
 SEED words (leftmost on ties), so equal windows elect equal anchors; an anchor that occurs
 once rules out all its windows. Consecutive windows of one anchor travel as one variant, and
-equal variants are sent once, with their count. Window keys are 64-bit hashes.
+equal variants are sent once a task. Anchors that occur twice are looked up in a bitmap of
+bounded size; what it lets through in vain is found to be alone later.
 
 Null texts have no words. Texts shorter than a window are kept whole. Null ids and repeated
-rows are documents of their own: rows that repeat exactly are each other's duplicates.
+rows are documents of their own: rows that repeat exactly are each other's duplicates. A row is
+known by its id and 64 bits of its text; should two rows agree in both, a factor is still
+compared with each one's own words.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, sliced
+from .common import NO_KEY, WORD, KeyFilter, keyed, lean, materialize, sliced
 
 WINDOW = 35
 SEED = 8
@@ -63,8 +67,9 @@ def rolled(words: np.ndarray, k: int) -> np.ndarray:
         return out ^ (out >> np.uint64(32))
 
 
-def word_hashes(raw: bytes) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(w) for w in raw.split()], np.uint64)
+def word_hashes(raw: bytes, bits: int = 64) -> np.ndarray:
+    found = np.array([xxhash.xxh64_intdigest(w) for w in raw.split()], np.uint64)
+    return found if bits == 64 else found & np.uint64((1 << bits) - 1)
 
 
 def anchored(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,133 +87,246 @@ def _encoded(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def _keyed(docs: DataFrame, extra: list[str] | None = None) -> DataFrame:
-    """doc, h (together the row's key; equal rows share it), text and extra columns."""
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    return docs.select(doc.alias("doc"), F.hash(F.col("doc_id").isNull(), "text").alias("h"), F.col("text").cast("string").alias("text"), *(extra or []))
+def _identified(docs: DataFrame, extra: list[str] | None = None) -> DataFrame:
+    """doc, h (together the row's key; equal rows share it), text, and the extra columns as x0, x1, ..."""
+    h = F.xxhash64(F.col("doc_id").isNull(), F.col("text").cast("string"))
+    return docs.select(keyed().alias("doc"), h.alias("h"), F.col("text").cast("string").alias("text"), *(F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(extra or [])))
 
 
-def _anchors(window: int):
+def _anchors(window: int, bits: int):
+    @lean
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                few = batch.slice(at, 1000)
-                found = [anchored(word_hashes(_encoded(t)), window)[0] for t in few.column(2).to_pylist()]
-                sizes = [len(f) for f in found]
-                doc, h = (np.repeat(few.column(i).to_numpy(zero_copy_only=False), sizes) for i in (0, 1))
-                anchors = np.concatenate(found) if found else np.zeros(0, np.uint64)
-                yield pa.record_batch([pa.array(anchors.view(np.int64)), pa.array(doc, pa.int64()), pa.array(h, pa.int32())], names=["anchor", "doc", "h"])
+        for few in sliced(batches, 500):
+            found = [anchored(word_hashes(_encoded(t), bits), window)[0] for t in few.column(0).to_pylist()]
+            anchors, n = np.unique(np.concatenate(found).view(np.int64), return_counts=True)
+            yield pa.record_batch([pa.array(anchors), pa.array(n)], names=["anchor", "n"])
 
     return run
 
 
-def _variants(window: int):
+FOUND = "vid long, doc long, h long, at int, keys array<long>"
+
+
+def _variants(window: int, wanted: KeyFilter, bits: int):
+    @lean
     def run(batches):
         sent: set[int] = set()
-        open_z = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                few = batch.slice(at, 200)
-                rows: list[tuple] = []
-                for doc, h, z, twice in zip(*(few.column(i).to_pylist() for i in range(3)), few.column(3), strict=True):
-                    words = word_hashes(open_z.decompress(z) if z else b"")
-                    anchors, first, end = anchored(words, window)
-                    wanted = np.isin(anchors, twice.values.to_numpy().view(np.uint64))
-                    keys = rolled(words, window).view(np.int64)
-                    for a, i, j in zip(anchors[wanted].tolist(), first[wanted].tolist(), end[wanted].tolist(), strict=True):
-                        own = keys[i:j]
-                        vid = xxhash.xxh64_intdigest(own.tobytes(), a & 0xFFFFFFFF)
-                        vid -= (vid >> 63) << 64
-                        new = vid not in sent
-                        if new:
-                            if len(sent) > 500_000:
-                                sent.clear()
-                            sent.add(vid)
-                        rows.append((vid, doc, h, i, own if new else None))
-                if rows:
-                    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["vid", "doc", "h", "at", "keys"])
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
+        for few in sliced(batches, 200):
+            rows: list[tuple] = []
+            for doc, h, text in zip(*(few.column(i).to_pylist() for i in range(3)), strict=True):
+                words = word_hashes(_encoded(text), bits)
+                anchors, first, end = anchored(words, window)
+                there = wanted.may_have(anchors.view(np.int64))
+                if not there.any():
+                    continue
+                keys = rolled(words, window).view(np.int64)
+                for a, i, j in zip(anchors[there].tolist(), first[there].tolist(), end[there].tolist(), strict=True):
+                    own = keys[i:j]
+                    vid = xxhash.xxh64_intdigest(own.tobytes(), a & 0xFFFFFFFF)
+                    vid -= (vid >> 63) << 64
+                    new = vid not in sent
+                    if new:
+                        if len(sent) > 200_000:
+                            sent.clear()
+                        sent.add(vid)
+                    rows.append((vid, doc, h, i, own if new else None))
+            if rows:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["vid", "doc", "h", "at", "keys"])
 
     return run
 
 
-def _shrunk(batches):
+def _packed(batches):
     """Texts compressed for the shuffle."""
     pack = zstandard.ZstdCompressor(level=3)
-    for batch in sliced(batches):
+    for batch in sliced(batches, 500):
         z = [pack.compress(_encoded(t)) if t else b"" for t in batch.column(2).to_pylist()]
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(z, pa.binary()), *(batch.column(i) for i in range(3, batch.num_columns))], names=["doc", "h", "z", *batch.schema.names[3:]])
 
 
-def duplicate_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc, h, hits: for each row of docs with duplicate windows, their first words in order."""
-    rows = _keyed(docs)
-    seeds = materialize(rows.mapInArrow(_anchors(window), "anchor long, doc long, h int"), "anchors")
-    twice = seeds.groupBy("anchor").count().where("count > 1").select("anchor")
-    wanted = seeds.join(twice, "anchor").groupBy("doc", "h").agg(F.collect_set("anchor").alias("anchors"))
-    small = rows.mapInArrow(_shrunk, "doc long, h int, z binary")
-    found = small.join(wanted, ["doc", "h"]).mapInArrow(_variants(window), "vid long, doc long, h int, at int, keys array<long>")
-    found = materialize(found, "variants")
-    variants = found.groupBy("vid").agg(F.count("*").alias("n"), F.first("keys", ignorenulls=True).alias("keys"))
-    each = variants.select("vid", "n", F.posexplode("keys").alias("k", "key"))
-    again = each.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
-    masks = each.join(again, "key").groupBy("vid").agg(F.collect_list("k").alias("ks"))
-    hits = found.select("vid", "doc", "h", "at").join(masks, "vid").select("doc", "h", F.transform("ks", lambda k: k + F.col("at")).alias("hits"))
-    return hits.groupBy("doc", "h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"))
-
-
-def factors(hits: np.ndarray, window: int) -> list[tuple[int, int]]:
-    """Greedy parse: the factors (first word, word after the last) that sorted duplicate windows make."""
-    if not len(hits):
-        return []
-    breaks = np.flatnonzero(np.diff(hits) > window) + 1
-    first, last = hits[np.r_[0, breaks]], hits[np.r_[breaks - 1, len(hits) - 1]]
-    return list(zip(first.tolist(), (last + window).tolist(), strict=True))
-
-
-def parsed(docs: DataFrame, render, schema: str, window: int = WINDOW, extra: list[str] | None = None) -> DataFrame:
-    """render(bytes of the text, factors) -> tuple for every row of docs, after its doc_id and the extra columns."""
-    extra = extra or []
-    rows = _keyed(docs, extra)
-    hits = materialize(duplicate_windows(docs, window), "hits")
-    kinds = ", ".join(f"{c} {t}" for c, t in rows.dtypes[3:])
-    small = rows.mapInArrow(_shrunk, "doc long, h int, z binary" + (f", {kinds}" if kinds else ""))
-    joined = small.join(hits, ["doc", "h"], "left")
-    joined = joined.select("doc", "z", "hits", *extra)
-
+RUNS = "array<struct<at:int,n:int,rdoc:long,rh:long,rat:int>>"
+
+
+def indexed(rows: DataFrame, window: int = WINDOW, bits: int = 64) -> DataFrame:
+    """doc, h, runs: for each row of rows(doc, h, text) that has some, runs of n windows from at that the index holds elsewhere, from rat of (rdoc, rh).
+
+    The reference of a variant is the least place it occurs at, for that place itself the
+    greatest; that of a window which only other variants hold is such a variant's least place.
+    """
+    twice = rows.select("text").mapInArrow(_anchors(window, bits), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
+    wanted = KeyFilter.of(materialize(twice, "twice"), "anchor")
+    found = materialize(rows.select("doc", "h", "text").mapInArrow(_variants(window, wanted, bits), FOUND), "variants")
+    place = F.struct("doc", "h", "at")
+    variants = found.groupBy("vid").agg(F.count("*").alias("times"), F.first("keys", ignorenulls=True).alias("keys"), F.min(place).alias("low"), F.max(place).alias("high"))
+    variants = materialize(variants.withColumn("uid", F.monotonically_increasing_id()), "distinct")
+    # a variant has at most window windows, so its number and a place in it make one long
+    step = 1 << max(6, (window + 1).bit_length())
+    each = variants.select("times", F.posexplode("keys").alias("k", "key"), "uid").select("times", "key", (F.col("uid") * step + F.col("k")).alias("code"))
+    again = each.groupBy("key").agg(F.sum("times").alias("n"), F.min("code").alias("first"), F.max("code").alias("last")).where("n > 1").select("key", "first", "last")
+    # joins on materialised tables, so that AQE can split a key which a third of the rows share
+    single = each.where("times = 1").join(materialize(again, "again"), "key")
+    single = single.select("code", F.when(F.col("first") == F.col("code"), F.col("last")).otherwise(F.col("first")).alias("other"))
+    split = lambda c: F.shiftright(c, step.bit_length() - 1)
+    single = single.select(split("code").alias("mine"), F.pmod("code", F.lit(step)).cast("int").alias("k"), split("other").alias("uid"), F.pmod("other", F.lit(step)).cast("int").alias("rk"))
+    there = single.join(variants.select("uid", "low"), "uid").select("mine", F.struct("k", F.col("low.doc").alias("rdoc"), F.col("low.h").alias("rh"), (F.col("low.at") + F.col("rk")).alias("rat")).alias("hit"))
+    hits = there.groupBy(F.col("mine").alias("uid")).agg(F.collect_list("hit").alias("hits"))
+    marks = variants.join(hits, "uid", "left").where("times > 1 or hits is not null").select("vid", F.size("keys").alias("n"), "low", "high", "hits")
+    own = found.select("vid", "doc", "h", "at").join(materialize(marks, "marks"), "vid")
+    ref = F.when(F.col("low") == place, F.col("high")).otherwise(F.col("low"))
+    whole = F.array(F.struct(F.col("at"), F.col("n"), ref["doc"].alias("rdoc"), ref["h"].alias("rh"), ref["at"].alias("rat")))
+    parts = F.transform("hits", lambda x: F.struct((F.col("at") + x["k"]).alias("at"), F.lit(1).alias("n"), x["rdoc"].alias("rdoc"), x["rh"].alias("rh"), x["rat"].alias("rat")))
+    runs = own.select("doc", "h", F.when(F.col("hits").isNull(), whole.cast(RUNS)).otherwise(parts.cast(RUNS)).alias("runs"))
+    return runs.groupBy("doc", "h").agg(F.flatten(F.collect_set("runs")).alias("runs"))
+
+
+def factors(runs: list[tuple[int, int, int, int, int]], window: int) -> list[tuple[int, int, int, int, int]]:
+    """Greedy parse of runs (at, n, rdoc, rh, rat): factors (first word, words, rdoc, rh, first word there)."""
+    out: list[list[int]] = []
+    for at, n, rdoc, rh, rat in sorted(runs):
+        last = out[-1] if out else None
+        if last and last[0] + last[1] == at and (last[2], last[3], last[4] + last[1]) == (rdoc, rh, rat):
+            last[1] += n
+        else:
+            out.append([at, n, rdoc, rh, rat])
+    return [(at, n + window - 1, rdoc, rh, rat) for at, n, rdoc, rh, rat in out]
+
+
+FACTORS = "doc long, h long, at int, n int, rdoc long, rh long, rat int"
+
+
+def parse(rows: DataFrame, window: int = WINDOW, bits: int = 64) -> DataFrame:
+    """doc, h, at, n, rdoc, rh, rat: every factor of every document, proposed by hashes."""
+
+    @lean
     def run(batches):
-        open_z = zstandard.ZstdDecompressor()
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
         for batch in sliced(batches):
-            docs_, zs = (batch.column(i).to_pylist() for i in (0, 1))
-            spans = (factors(x.values.to_numpy(zero_copy_only=False), window) if x.is_valid else [] for x in batch.column(2))
-            out = [(None if d == -(1 << 63) else d, *render(open_z.decompress(z) if z else b"", s)) for d, z, s in zip(docs_, zs, spans, strict=True)]
-            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * len(names), types, strict=True)]
-            yield pa.record_batch([*columns, *(batch.column(3 + i) for i in range(len(extra)))], names=[*names, *extra])
+            out = []
+            for doc, h, runs in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                out += [(doc, h, *f) for f in factors([tuple(r.values()) for r in runs], window)]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 7, types, strict=True)], names=[c.split()[0] for c in FACTORS.split(", ")])
+
+    return indexed(rows, window, bits).mapInArrow(run, FACTORS)
+
+
+def _quoted(batches):
+    """The reference's words of each factor."""
+    pack, opened, last, words = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor(), None, []
+    for batch in sliced(batches, 500):
+        out = []
+        for n, rat, z in zip(*(batch.column(i).to_pylist() for i in (3, 4, 5)), strict=True):
+            if z != last:
+                last, words = z, opened.decompress(z).split() if z else []
+            out.append(pack.compress(b" ".join(words[rat : rat + n])))
+        yield pa.record_batch([*(batch.column(i) for i in range(3)), pa.array(out, pa.binary())], names=["doc", "h", "at", "words"])
 
+
+def quoted(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """doc, h, quotes: (at, words) of the factors found, with the words that stand at their references."""
+    wanted = KeyFilter.of(found, "rh")
+
+    @lean
+    def run(batches):
+        sent: set[tuple[int, int]] = set()
+        for batch in sliced(batches, 500):
+            here = []
+            for i in np.flatnonzero(wanted.may_have(np.asarray(batch.column(1)))).tolist():
+                key = (batch.column(0)[i].as_py(), batch.column(1)[i].as_py())
+                if key not in sent:  # rows that repeat are sent once
+                    if len(sent) > 200_000:
+                        sent.clear()
+                    sent.add(key)
+                    here.append(i)
+            if here:
+                yield from _packed([batch.take(pa.array(here))])
+
+    refs = rows.select("doc", "h", "text").mapInArrow(run, "doc long, h long, z binary")
+    refs = refs.join(found.select(F.col("rdoc").alias("doc"), F.col("rh").alias("h")).distinct(), ["doc", "h"], "left_semi")
+    refs = materialize(refs.groupBy("doc", "h").agg(F.first("z").alias("z")), "references").select(F.col("doc").alias("rdoc"), F.col("h").alias("rh"), "z")
+    quotes = found.join(refs, ["rdoc", "rh"]).select("doc", "h", "at", "n", "rat", "z").mapInArrow(lean(_quoted), "doc long, h long, at int, words binary")
+    return quotes.groupBy("doc", "h").agg(F.collect_list(F.struct("at", "words")).alias("quotes"))
+
+
+def spans(words: list[bytes], quotes: list[tuple[int, list[bytes]]], window: int) -> list[tuple[int, int]]:
+    """The duplicate spans (first word, word after the last): where the words equal those quoted for a window or more."""
+    out: list[list[int]] = []
+    for at, there in sorted(quotes):
+        own = words[at : at + len(there)]
+        if own == there:
+            equal = [(at, at + len(own))] if len(own) >= window else []
+        else:
+            breaks = [-1, *(i for i, (a, b) in enumerate(zip(own, there, strict=False)) if a != b), min(len(own), len(there))]
+            equal = [(at + a + 1, at + b) for a, b in zip(breaks, breaks[1:], strict=False) if b - a - 1 >= window]
+        for a, b in equal:
+            if out and a <= out[-1][1]:
+                out[-1][1] = max(out[-1][1], b)
+            else:
+                out.append([a, b])
+    return [(a, b) for a, b in out]
+
+
+def parsed(docs: DataFrame, render, schema: str, window: int = WINDOW, extra: list[str] | None = None, bits: int = 64) -> DataFrame:
+    """render(bytes of the text, spans) -> tuple for every row of docs, after its doc_id; then the extra columns as x0, x1, ..."""
+    rows = _identified(docs, extra)
+    kinds = "".join(f", {c} {t}" for c, t in rows.dtypes[3:])
+    plain = rows.select("doc", "h", "text")
+    quotes = materialize(quoted(plain, materialize(parse(plain, window, bits), "factors")), "quotes")
+    wanted = KeyFilter.of(quotes, "h")
     own = f"doc_id long, {schema}"
     names = [c.split()[0] for c in own.split(", ")]
     types = [{"long": pa.int64(), "string": pa.string()}[c.split()[1]] for c in own.split(", ")]
-    return joined.mapInArrow(run, own + (f", {kinds}" if kinds else ""))
+    others = [c for c, _ in rows.dtypes[3:]]
+
+    def rendered(batch, raws, found, first):
+        docs_ = batch.column(0).to_pylist()
+        out = [(None if d == NO_KEY else d, *render(raw, s)) for d, raw, s in zip(docs_, raws, found, strict=True)]
+        columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * len(names), types, strict=True)]
+        return pa.record_batch([*columns, *(batch.column(first + i) for i in range(len(others)))], names=[*names, *others])
+
+    @lean
+    def unique(batches):
+        """Documents without a factor stay where they are."""
+        for batch in sliced(batches, 500):
+            batch = batch.filter(pa.array(~wanted.may_have(np.asarray(batch.column(1)))))
+            yield rendered(batch, [_encoded(t) for t in batch.column(2).to_pylist()], [[]] * batch.num_rows, 3)
+
+    @lean
+    def sent(batches):
+        yield from _packed(b.filter(pa.array(wanted.may_have(np.asarray(b.column(1))))) for b in sliced(batches, 500))
+
+    @lean
+    def run(batches):
+        opened = zstandard.ZstdDecompressor()
+        for batch in sliced(batches, 500):
+            raws = [opened.decompress(z) if z else b"" for z in batch.column(2).to_pylist()]
+            found = []
+            for raw, quotes_ in zip(raws, batch.column(3).to_pylist(), strict=True):
+                found.append(spans(raw.split(), [(q["at"], opened.decompress(q["words"]).split()) for q in quotes_], window) if quotes_ else [])
+            yield rendered(batch, raws, found, 4)
+
+    joined = rows.mapInArrow(sent, "doc long, h long, z binary" + kinds).join(quotes, ["doc", "h"], "left").select("doc", "h", "z", "quotes", *others)
+    return rows.mapInArrow(unique, own + kinds).unionByName(joined.mapInArrow(run, own + kinds))
 
 
-def _digest_of(raw: bytes, spans) -> tuple[int, int, str]:
+def _digest_of(raw: bytes, found) -> tuple[int, int, str]:
     words = raw.split()
     kept, at = [], 0
-    for a, b in spans:
+    for a, b in found:
         kept += words[at:a]
         at = b
     kept += words[at:]
     return len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()
 
 
-def _text_of(raw: bytes, spans) -> tuple[str, int]:
+def _text_of(raw: bytes, found) -> tuple[str, int]:
     """The text without the spans; what stays is unchanged but for white space where a span was."""
     text = raw.decode("utf-8", "surrogatepass")
-    if not spans:
+    if not found:
         return text, len(text)
     places = [m.span() for m in WORD.finditer(text)]
     kept, at = [], 0
-    for a, b in spans:
+    for a, b in found:
         kept.append(text[at : places[a][0]].strip())
         at = places[b - 1][1]
     kept.append(text[at:].strip())
@@ -217,10 +335,11 @@ def _text_of(raw: bytes, spans) -> tuple[str, int]:
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs with every duplicate span cut out of text and n_chars set; other columns as they are."""
+    """docs with every duplicate span cut out of text and n_chars set; other columns as they are. Null texts become empty."""
     extra = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
     out = parsed(docs, _text_of, "text string, n_chars long", window, extra)
-    return out.select(*[c for c in docs.columns if c != "n_chars"], *["n_chars"] * ("n_chars" in docs.columns)).select(*docs.columns)
+    columns = {"doc_id": "doc_id", "text": "text", "n_chars": "n_chars"} | {c: f"x{i}" for i, c in enumerate(extra)}
+    return out.select(*(F.col(columns[c]).alias(c) for c in docs.columns))
 
 
 def op9_substrings(spark, sf_dir: str) -> DataFrame:
