@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, sliced
+from .common import lean, materialize, sliced
 from .wordpieces import WordPieces
 
 CAPACITY = 2048
@@ -33,6 +33,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     """doc_id, piece, start, length, ids_crc32 (and ids as little-endian uint32) of docs(doc_id, text)."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
 
+    @lean
     def run(batches):
         encoder = WordPieces(tokenizer)  # of this task alone: a worker that lives on doesn't keep its words
         for batch in sliced(batches):

@@ -1,8 +1,8 @@
 """Token ids as binary blocks with a minimal perfect hash index from key to place.
 
-Documents are dealt by ranges of doc_id into shards and each shard is written in order as
-blocks of at most about BLOCK_IDS ids, one Parquet row a block, so Spark's commit protocol
-guards the files and any reader Spark has can fetch them. A block holds
+Documents are encoded as they are read and their ids dealt by ranges of doc_id into shards;
+each shard is written in order as blocks of about BLOCK_IDS ids, one Parquet row a block, so
+Spark's commit protocol guards the files and any reader Spark has can fetch them. A block holds
 
     shard, part      its place in the order
     n_ids            ids in it
@@ -18,7 +18,8 @@ A key's slot is the rank of its bit in the first level that holds it; the stored
 tells foreign keys. A look-up touches one slot, whatever the size of the block.
 
 Null texts are empty: the end id alone. Null ids have the key -2**63 and come first. Rows of
-one doc_id are records of one key, in order of their text.
+one doc_id are records of one key, in order of a hash of their ids; a key with many rows goes
+on over blocks and shards, so no block is larger than BLOCK_IDS and one document.
 """
 
 from __future__ import annotations
@@ -27,15 +28,15 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, range_bounds, with_range
-from .wordpieces import word_pieces
+from .common import NO_KEY, Ranges, key_ranges, lean, materialize, sliced
+from .wordpieces import WordPieces
 
 BLOCK_IDS = 4_000_000
 SHARD_ROWS = 4096
-NO_KEY = -(1 << 63)
 GAMMA = 1.5
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)  # fixed values: splitmix64
 
@@ -126,40 +127,49 @@ BINARY = ("payload", "keys", "sizes", "bits", "ranks", "prints", "records", "off
 SCHEMA = "shard int, part int, n_ids long, width int, " + ", ".join(f"{c} binary" for c in BINARY)
 
 
-def shard_bounds(docs: DataFrame, rows_a_shard: int = SHARD_ROWS) -> list[int]:
-    n = docs.count()
-    return range_bounds(docs.where("doc_id is not null"), "doc_id", max(1, min(20_000, n // rows_a_shard)))
+def shards(docs: DataFrame, rows_a_shard: int = SHARD_ROWS) -> Ranges:
+    return key_ranges(docs, rows_a_shard)
 
 
-def blocks(docs: DataFrame, tokenizer: str, end_id: int, bounds: list[int]) -> DataFrame:
+def encoded(docs: DataFrame, tokenizer: str, end_id: int, ranges: Ranges) -> DataFrame:
+    """shard, key, h, ids (raw, ended by end_id), width of every row of docs(doc_id, text)."""
+
+    @lean
+    def run(batches):
+        encoder = WordPieces(tokenizer)  # of this task alone: a worker that lives on doesn't keep its words
+        end, width = np.array([end_id], encoder.dtype).tobytes(), encoder.dtype.itemsize
+        for batch in sliced(batches):
+            rows = [raw + end for raw in encoder.encode(batch.column(1).to_pylist())]
+            keys, hs = np.asarray(batch.column(0).fill_null(NO_KEY)), np.array([xxhash.xxh64_intdigest(r) for r in rows], np.uint64).view(np.int64)
+            columns = [pa.array(ranges.of(keys, hs).astype(np.int32)), pa.array(keys), pa.array(hs), pa.array(rows, pa.binary()), pa.array(np.full(len(rows), width, np.int32))]
+            yield pa.record_batch(columns, names=["shard", "key", "h", "ids", "width"])
+
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.mapInArrow(run, "shard int, key long, h long, ids binary, width int")
+
+
+def blocks(docs: DataFrame, tokenizer: str, end_id: int, ranges: Ranges) -> DataFrame:
     """The blocks of docs(doc_id, text), every id list ended by end_id."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    dealt = with_range(docs, "doc_id", bounds, "shard").repartition(len(bounds) + 1, "shard")
-    dealt = dealt.select("shard", "doc_id", "text").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
+    dealt = encoded(docs, tokenizer, end_id, ranges).repartition("shard").sortWithinPartitions("shard", "key", "h", "ids")
 
+    @lean
     def run(batches):
-        encoder = word_pieces(tokenizer)
-        end = np.array([end_id], encoder.dtype).tobytes()
         types = {"shard": pa.int32(), "part": pa.int32(), "n_ids": pa.int64(), "width": pa.int32()} | dict.fromkeys(BINARY, pa.binary())
 
         def flush():
-            made = block(shard, part, keys, rows, encoder.dtype)
+            made = block(shard, part, keys, rows, np.dtype("<u2" if width == 2 else "<u4"))
             return pa.record_batch([pa.array([made[k]], t) for k, t in types.items()], names=list(types))
 
-        shard, part, keys, rows, size = None, 0, [], [], 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                few = batch.slice(at, 256)
-                shards, ids, texts = (few.column(i).to_pylist() for i in range(3))
-                for s, doc, raw in zip(shards, ids, encoder.encode(texts), strict=True):
-                    key = NO_KEY if doc is None else doc
-                    if keys and (s != shard or size > BLOCK_IDS * encoder.dtype.itemsize and key != keys[-1]):
-                        yield flush()
-                        part, keys, rows, size = (part + 1 if s == shard else 0), [], [], 0
-                    shard = s
-                    keys.append(key)
-                    rows.append(raw + end)
-                    size += len(raw) + len(end)
+        shard, part, keys, rows, size, width = None, 0, [], [], 0, 2
+        for batch in sliced(batches):
+            for s, key, raw, width in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4)), strict=True):
+                if keys and (s != shard or size + len(raw) > BLOCK_IDS * width):
+                    yield flush()
+                    part, keys, rows, size = (part + 1 if s == shard else 0), [], [], 0
+                shard = s
+                keys.append(key)
+                rows.append(raw)
+                size += len(raw)
         if keys:
             yield flush()
 
@@ -169,6 +179,7 @@ def blocks(docs: DataFrame, tokenizer: str, end_id: int, bounds: list[int]) -> D
 def stored_documents(stored: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every record, each read through the index of its block."""
 
+    @lean
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
@@ -194,9 +205,15 @@ def stored_documents(stored: DataFrame) -> DataFrame:
     return placed.select("doc_id", (F.col("start") + F.col("inner") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def lookup(stored: DataFrame, keys: DataFrame, bounds: list[int]) -> DataFrame:
+def lookup(stored: DataFrame, keys: DataFrame, ranges: Ranges) -> DataFrame:
     """doc_id, ids (array) of those of keys(doc_id) that are stored. keys: any number, dealt by shard."""
-    wanted = with_range(keys.select(F.col("doc_id").cast("long")).distinct(), "doc_id", bounds, "shard")
+
+    def dealt(batches):
+        for batch in batches:
+            rows = [(s, k) for k in batch.column(0).to_pylist() for s in ranges.spanned(k)]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ([], []), (pa.int32(), pa.int64()), strict=True)], names=["shard", "doc_id"])
+
+    wanted = keys.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().mapInArrow(dealt, "shard int, doc_id long")
 
     def run(left, right):
         import pandas as pd
@@ -209,13 +226,13 @@ def lookup(stored: DataFrame, keys: DataFrame, bounds: list[int]) -> DataFrame:
                 out += [(key, ids.astype(np.int64)) for _, ids in own.read(slot)] if slot >= 0 else []
         return pd.DataFrame(out, columns=["doc_id", "ids"])
 
-    shards = stored.join(wanted.select("shard").distinct(), "shard", "left_semi")
-    return wanted.groupBy("shard").cogroup(shards.groupBy("shard")).applyInPandas(run, "doc_id long, ids array<long>")
+    found = stored.join(wanted.select("shard").distinct(), "shard", "left_semi")
+    return wanted.groupBy("shard").cogroup(found.groupBy("shard")).applyInPandas(run, "doc_id long, ids array<long>")
 
 
 def op8_tokenstore(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    stored = materialize(blocks(docs, public_tokenizers.path("word_bpe_49k.json"), 2, shard_bounds(docs)), "tokens")
+    stored = materialize(blocks(docs, public_tokenizers.path("word_bpe_49k.json"), 2, shards(docs)), "tokens")
     return stored_documents(stored)

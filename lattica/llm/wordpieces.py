@@ -2,7 +2,7 @@
 
 The file's own pipeline (NFC, white space, lower case, split, byte-level BPE) never joins
 characters across ASCII white space, so a text's ids are those of its words in turn. Plain
-Latin words are cut into the file's pre-tokens here; new pre-tokens are encoded by the
+Latin texts are cut into the file's pre-tokens here; new pre-tokens are encoded by the
 file's BPE model, many in one call. Words with any other character go through the
 whole tokenizer. The result equals Tokenizer.encode(text, add_special_tokens=False).ids.
 """
@@ -10,7 +10,6 @@ whole tokenizer. The result equals Tokenizer.encode(text, add_special_tokens=Fal
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import numpy as np
 
@@ -19,9 +18,12 @@ from .common import WORD
 # Characters that normalise to themselves, and the pre-token pattern on them in lower case.
 PLAIN = re.compile(r"[\t\n\v\f\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
 PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
-#: Entries kept of each kind; beyond that the longer ones are forgotten.
-MOST, MOST_WORDS = 300_000, 250_000
+#: Pieces known at a time; beyond that those not met since the last time are forgotten.
+MOST = 250_000
+#: Characters of a text that are cut into pieces at once.
+SLICE = 100_000
 END = "</w>"
+SPACE = re.compile(r"[\x20\x09-\x0D]")
 
 
 class WordPieces:
@@ -36,8 +38,8 @@ class WordPieces:
         self.dtype = np.dtype("<u4" if self.wide else "<u2")
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith(END)]] = True
-        self.known: dict[str, bytes] = {}  # by pre-token
-        self.words: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # by pre-token, or OTHER and a word
+        self.older: dict[str, bytes] = {}
 
     def _learn(self, pieces: list[str]) -> None:
         ids = np.array(self.bare.encode(" ".join(pieces), add_special_tokens=False).ids, np.int64)
@@ -56,45 +58,64 @@ class WordPieces:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian bytes of self.dtype; null and empty: none."""
         out: list[bytes] = []
-        at = 0
-        while at < len(texts):
-            upto, chars = at, 0
-            while upto < len(texts) and chars < 100_000:
-                chars += len(texts[upto] or "")
-                upto += 1
-            out += self._group(texts[at:upto])
-            at = upto
-        return out
-
-    def _group(self, texts: list[str | None]) -> list[bytes]:
-        cut = [(x or "").split() if _plain(x or "") else WORD.findall(x) for x in texts]
-        new = set().union(*cut).difference(self.words)
-        if len(self.words) + len(new) > MOST_WORDS:
-            self.words = {k: v for k, v in self.words.items() if len(k) <= 4}
-            new = set().union(*cut).difference(self.words)
-        pieces = {w: PIECE.findall(w.lower()) for w in new if _plain(w)}
-        missing = {p for x in pieces.values() for p in x}.difference(self.known)
-        if len(self.known) + len(missing) > MOST:
-            self.known = {k: v for k, v in self.known.items() if len(k) <= 4}
-            missing = {p for x in pieces.values() for p in x}.difference(self.known)
-        if missing:
-            self._learn(list(missing))
-        known = self.known
-        for w in new:
-            if w not in pieces:
-                self.words[w] = self._other(w)
-            else:
-                x = pieces[w]
-                self.words[w] = known[x[0]] if len(x) == 1 else b"".join([known[p] for p in x])
-        get = self.words.__getitem__
+        run: list[str] = []
+        size = 0
+        for text in texts:
+            if text and len(text) > SLICE:
+                out += self._group(run)
+                run, size = [], 0
+                out.append(b"".join(self._group([part])[0] for part in _slices(text)))
+                continue
+            run.append(text or "")
+            size += len(run[-1])
+            if size >= SLICE:
+                out += self._group(run)
+                run, size = [], 0
+        return out + self._group(run)
+
+    def _group(self, texts: list[str]) -> list[bytes]:
+        cut = [_pieces(x) for x in texts]
+        new = set().union(*cut).difference(self.known)
+        if new:
+            if len(self.known) + len(new) > MOST:
+                self.older, self.known = self.known, {}
+                new = set().union(*cut)
+            again = new.intersection(self.older)
+            self.known.update((p, self.older[p]) for p in again)
+            new -= again
+            others = [p for p in new if p[0] == OTHER]
+            self.known.update((p, self._other(p[1:])) for p in others)
+            if len(others) < len(new):
+                self._learn([p for p in new if p[0] != OTHER])
+        get = self.known.__getitem__
         return [b"".join(map(get, x)) for x in cut]
 
 
-def _plain(text: str) -> bool:
-    return PLAIN.fullmatch(text) is not None and "<|" not in text
+#: Marks words that the whole tokenizer encodes; no piece begins with it.
+OTHER = "\0"
+
+
+def _pieces(text: str) -> list[str]:
+    if _plain(text):
+        return PIECE.findall(text.lower())
+    out: list[str] = []
+    for word in WORD.findall(text):
+        if _plain(word):
+            out += PIECE.findall(word.lower())
+        else:
+            out.append(OTHER + word)
+    return out
 
 
-@lru_cache(maxsize=2)
-def word_pieces(path: str) -> WordPieces:
-    """One encoder a Python worker and file."""
-    return WordPieces(path)
+def _slices(text: str):
+    """A long text in slices that end at ASCII white space; a longer word stays whole."""
+    at = 0
+    while at < len(text):
+        m = SPACE.search(text, at + SLICE) if at + SLICE < len(text) else None
+        to = m.end() if m else len(text)
+        yield text[at:to]
+        at = to
+
+
+def _plain(text: str) -> bool:
+    return PLAIN.fullmatch(text) is not None and "<|" not in text
