@@ -3,8 +3,11 @@
 The model is a bigram model over all words, each by its own count; words are white-space
 separated, lower case. Only where a caller names most_words is it one over the most frequent
 words (whole ties only, so never more) and one class for all others.
-A word scores c(v w) / c(v) where the pair occurs at least LEAST times, else
-0.4 c(w) / N; the first word of a document c(w) / N. A document's score is the sum of logs.
+A word scores c(v w) / c(v) where the pair occurs in another place of the corpus than the
+document that is scored, else it backs off to 0.4 c(w) / N; the first word of a document scores
+c(w) / N. (A document's own pairs are always in the counts, so without that no document would
+ever back off.) All counts are of the whole corpus, none is cut. A document's score is the sum
+of logs; how many of its words backed off is told beside it.
 
 At most VOCABULARY frequent words have short numbers, for packing; the others go by 64-bit
 hashes, which changes no result. Counts and n-grams meet by hash. Word counts are a table partitioned by word hash. Each
@@ -15,7 +18,8 @@ Pairs of the HOT most frequent words, which could fill a bucket on their own, ar
 one dense matrix first and never shuffled. Pairs with a word without a number are joined in the
 same way by their hashes; the counts of such words that a pair's score asks for are then joined
 by word hash, from the table of word counts, and go back to the chunk with the other sums.
-The number of buckets is that of the session's shuffle partitions.
+There is a bucket for every WORDS_A_BUCKET words of the corpus, so a bucket's size stays the
+same; a task holds one bucket at a time.
 
 Null and empty texts have no words, score 0 and no mean. Every row is scored by itself,
 repeated rows and null ids too. An empty table gives no rows.
@@ -23,6 +27,8 @@ repeated rows and null ids too. An empty table gives no rows.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -31,12 +37,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import lean, materialize, sliced
 
 VOCABULARY = 65_535
 HOT = 256
-LEAST = 2
 BACKOFF = 0.4
+WORDS_A_BUCKET = 500_000
 CHUNK = 2_000
 CACHE = 400_000
 SCALE = 16
@@ -54,12 +60,12 @@ def _words(text: str | None) -> list[str]:
 def word_counts(texts: DataFrame) -> DataFrame:
     """word (its hash), n over all documents; counted a chunk at a time before the shuffle."""
 
+    @lean
     def run(batches):
-        for batch in batches:
-            seen: dict[str, int] = {}
+        for batch in sliced(batches, CHUNK):
+            seen: Counter[str] = Counter()
             for text in batch.column(0).to_pylist():
-                for w in _words(text):
-                    seen[w] = seen.get(w, 0) + 1
+                seen.update(_words(text))
             yield pa.record_batch([pa.array([_hash(w) for w in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
     return texts.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -113,9 +119,10 @@ def _hot_pairs(texts: DataFrame, hashes: np.ndarray, whole: bool) -> np.ndarray:
     """Counts of the pairs of the HOT most frequent words and the class of the others."""
     width = HOT + 1
 
+    @lean
     def run(batches):
         ids, sums = _Ids(hashes, whole), np.zeros(width * width, np.int64)
-        for batch in batches:
+        for batch in sliced(batches, CHUNK):
             for text in batch.column(0).to_pylist():
                 x = ids.of(text)
                 a, b = x[:-1].astype(np.int64), x[1:].astype(np.int64)
@@ -173,8 +180,8 @@ class Scores:
     def first(self, w):
         return self.log[w] - self.total
 
-    def pair(self, v, w, n):
-        return np.where(n >= LEAST, np.log(np.maximum(n, 1)) - self.log[v], np.log(BACKOFF) + self.log[w] - self.total)
+    def pair(self, v, w, n, elsewhere):
+        return np.where(elsewhere, np.log(np.maximum(n, 1)) - self.log[v], np.log(BACKOFF) + self.log[w] - self.total)
 
 
 def _dealt(place: np.ndarray, buckets: int, *arrays: np.ndarray):
@@ -202,6 +209,7 @@ def _grouped(*arrays: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _exploded(hashes, counts, total, hot, buckets, whole):
+    @lean
     def run(batches):
         ids, scores, k = _Ids(hashes, whole), Scores(counts, total), 0
         spot = TaskContext.get().partitionId() << 32
@@ -217,7 +225,11 @@ def _exploded(hashes, counts, total, hot, buckets, whole):
                 asked = np.flatnonzero(there & ~known)
                 a, b, same = flat[:-1], flat[1:], owner[:-1] == owner[1:]
                 near = same & (a <= HOT) & (b <= HOT)
-                np.add.at(sums, owner[:-1][near].astype(np.int64), scores.pair(a[near].astype(np.int64), b[near].astype(np.int64), hot[a[near].astype(np.int64), b[near].astype(np.int64)]))
+                pairs, n = np.unique(owner[:-1][near] << np.uint64(32) | a[near] << np.uint64(16) | b[near], return_counts=True)
+                own, v, w = ((pairs >> np.uint64(k) & np.uint64(0xFFFF)).astype(np.int64) for k in (32, 16, 0))
+                there_ = hot[v, w] > n
+                sums += np.bincount(own, scores.pair(v, w, hot[v, w], there_) * n, len(xs))
+                backs = np.bincount(own, n * ~there_, len(xs))
                 short = (a <= VOCABULARY) & (b <= VOCABULARY)
                 far, rare = same & ~near & short, same & ~short
                 pairs, n = np.unique(owner[:-1][far] << np.uint64(32) | a[far].astype(np.uint64) << np.uint64(16) | b[far].astype(np.uint64), return_counts=True)
@@ -225,7 +237,7 @@ def _exploded(hashes, counts, total, hot, buckets, whole):
                 place = ((key.astype(np.uint64) * np.uint64(0x9E3779B1) & np.uint64(0xFFFFFFFF)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
                 chunk = spot + k
                 known = np.asarray(doc.is_valid())
-                rows = [(int(chunk % buckets), chunk, HEAD, _packed(np.asarray(doc.fill_null(0)), known.astype("<u1"), np.array([len(x) for x in xs], "<u4"), sums))]
+                rows = [(int(chunk % buckets), chunk, HEAD, _packed(np.asarray(doc.fill_null(0)), known.astype("<u1"), np.array([len(x) for x in xs], "<u4"), sums, backs.astype("<u4")))]
                 rows += [(p, chunk, PAIRS, _packed(*x)) for p, x in _dealt(place, buckets, own, key, n.astype("<u4"))]
                 o, v, w = owner[:-1][rare], a[rare], b[rare]
                 order, starts = _grouped(o, v, w)
@@ -242,6 +254,7 @@ def _exploded(hashes, counts, total, hot, buckets, whole):
 def _by_bucket(passing, flush):
     """Rows sorted by bucket: those of kinds in passing pass, the others of a bucket go to flush(bucket, rows) together."""
 
+    @lean
     def run(batches):
         bucket, held = None, []
         for batch in batches:
@@ -262,9 +275,9 @@ def _by_bucket(passing, flush):
     return run
 
 
-def _summed(bucket, chunk, own, each):
+def _summed(bucket, chunk, own, each, backs=None):
     docs, where = np.unique(own, return_inverse=True)
-    return bucket, chunk, SUMS, _packed(docs, np.bincount(where, each, len(docs)))
+    return bucket, chunk, SUMS, _packed(docs, np.bincount(where, each, len(docs)), np.bincount(where, backs, len(docs)).astype("<u4") if backs is not None else np.zeros(len(docs), "<u4"))
 
 
 def _joined(counts, total, buckets):
@@ -276,10 +289,11 @@ def _joined(counts, total, buckets):
         keys, which = np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True)
         ns = np.concatenate([p[2] for p in parts])
         total_n = np.bincount(which, ns, len(keys)).astype(np.int64)
-        each = scores.pair(keys >> 16, keys & 0xFFFF, total_n)[which] * ns
-        at = 0
+        there = total_n[which] > ns
+        each = scores.pair(keys[which] >> 16, keys[which] & 0xFFFF, total_n[which], there) * ns
+        backs, at = ns * ~there, 0
         for (chunk, _), (own, _, _) in zip(held, parts, strict=True):
-            yield _summed(bucket, chunk, own, each[at : at + len(own)])
+            yield _summed(bucket, chunk, own, each[at : at + len(own)], backs[at : at + len(own)])
             at += len(own)
 
     def long(bucket, held):
@@ -288,7 +302,7 @@ def _joined(counts, total, buckets):
         order, starts = _grouped(v, w)
         together = np.zeros(len(v), np.int64)
         together[order] = np.repeat(np.add.reduceat(ns[order].astype(np.int64), starts), np.diff(np.r_[starts, len(order)]))
-        often = together >= LEAST
+        often = together > ns
         word = np.where(often, v, w)  # whose count the score has: less that of v, or plus that of w
         sign = np.where(often, -1, 1) * ns.astype(np.int64)
         known = word <= VOCABULARY
@@ -296,7 +310,7 @@ def _joined(counts, total, buckets):
         at = 0
         for (chunk, _), (own, _, _, _) in zip(held, parts, strict=True):
             here = slice(at, at + len(own))
-            yield _summed(bucket, chunk, own, each[here])
+            yield _summed(bucket, chunk, own, each[here], (ns * ~often)[here])
             at += len(own)
         # all chunks' questions to a bucket of words in one row
         ask, chunks = ~known, np.repeat(np.array([chunk for chunk, _ in held], "<i8"), [len(p[0]) for p in parts])
@@ -343,46 +357,48 @@ def _counts_packed(hashes, buckets):
     return run
 
 
+@lean
 def _added(batches):
     """Rows sorted by chunk, its head first."""
     now = None
 
     def flush():
-        doc, known, n, sums = now
+        doc, known, n, sums, backs = now
         score = pa.array(sums)
         mean = pa.array(np.divide(sums, n, out=np.zeros(len(n)), where=n > 0), mask=n == 0)
-        return pa.record_batch([pa.array(doc, mask=known == 0), pa.array(n.astype(np.int64)), score, mean], names=["doc_id", "n_words", "log_score", "mean_log_score"])
+        return pa.record_batch([pa.array(doc, mask=known == 0), pa.array(n.astype(np.int64)), score, mean, pa.array(backs.astype(np.int64))], names=["doc_id", "n_words", "log_score", "mean_log_score", "n_backed_off"])
 
     for batch in batches:
         for _, _, kind, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             if kind == HEAD:
                 if now is not None:
                     yield flush()
-                doc, known, n, sums = _unpacked(data, "<i8", "<u1", "<u4", "<f8")
-                now = (doc, known, n, sums.copy())
+                doc, known, n, sums, backs = _unpacked(data, "<i8", "<u1", "<u4", "<f8", "<u4")
+                now = (doc, known, n, sums.copy(), backs.copy())
             else:
-                docs, part = _unpacked(data, "<u2", "<f8")
+                docs, part, more = _unpacked(data, "<u2", "<f8", "<u4")
                 now[3][docs] += part
+                now[4][docs] += more
     if now is not None:
         yield flush()
 
 
 def stupid_backoff(docs: DataFrame, most_words: int | None = None) -> DataFrame:
-    """doc_id, n_words, log_score, mean_log_score of every row of docs(doc_id, text); with most_words one class for all words beyond the most frequent."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    """doc_id, n_words, log_score, mean_log_score, n_backed_off of every row of docs(doc_id, text); with most_words one class for all words beyond the most frequent."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = rows.select("text")
     spark, whole = docs.sparkSession, most_words is None
     each = materialize(word_counts(texts), "words")
     hashes, counts, total = vocabulary(each, VOCABULARY if whole else most_words)
     hot = _hot_pairs(texts, hashes, whole)
-    buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // WORDS_A_BUCKET))
     exploded = rows.mapInArrow(_exploded(hashes, counts, total, hot, buckets, whole), PACKED)
     joined = exploded.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_joined(counts, total, buckets), PACKED)
     if whole and int(counts.sum()) < total:
         asked = joined.union(each.select("word", "n").mapInArrow(_counts_packed(hashes, buckets), PACKED))
         joined = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_by_bucket((HEAD, SUMS), _answered), PACKED)
     back = joined.repartition("chunk").sortWithinPartitions("chunk", F.desc("kind"))
-    return back.mapInArrow(_added, "doc_id long, n_words long, log_score double, mean_log_score double")
+    return back.mapInArrow(_added, "doc_id long, n_words long, log_score double, mean_log_score double, n_backed_off long")
 
 
 def op7_ngram_scores(spark, sf_dir: str) -> DataFrame:
