@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, sliced
+from .common import lean, materialize, sliced
 
 MOST_LABELLED = 20_000
 FALSE_REJECTS = 0.003
@@ -92,14 +92,15 @@ def _roles(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(known, "doc_id", "left").withColumn("role", F.coalesce("role", F.lit(0)))
 
 
+@lean
 def _counted(batches):
     features, raw, target = Features(), np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-    for batch in sliced(batches):
-        for text, role in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            for buckets in features.of(text):
-                np.add.at(raw, buckets, 1)
-                if role == 1:
-                    np.add.at(target, buckets, 1)
+    for batch in sliced(batches, 200):
+        each = [np.concatenate(features.of(t)) for t in batch.column(1).to_pylist()]
+        raw += np.bincount(np.concatenate(each), minlength=BUCKETS)
+        some = [x for x, role in zip(each, batch.column(2).to_pylist(), strict=True) if role == 1]
+        if some:
+            target += np.bincount(np.concatenate(some), minlength=BUCKETS)
     if raw.any():
         cuts = range(0, BUCKETS, BLOCK)
         yield pa.record_batch(
@@ -171,6 +172,7 @@ def scored(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLE
     rows = _roles(docs, labels, most_labelled)
     ratios = log_ratios(rows)
 
+    @lean
     def seen(batches):
         features = Features()
         for batch in sliced(batches):
@@ -185,6 +187,7 @@ def scored(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLE
         odds = ((x - mean) / scale) @ w
         model = (mean, scale, w, max(0.0, float(np.quantile(odds[bad == 0], 1 - FALSE_REJECTS))))
 
+    @lean
     def run(batches):
         features = Features()
         for batch in sliced(batches):
