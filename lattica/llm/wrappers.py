@@ -6,7 +6,7 @@ which gives the page a union-free regular expression, its pattern. The patterns
 are aligned one after another: what matches is merged, what does not becomes optional, text
 that differs is a slot and text that never does is template. Evidence is kept by slot
 (blocks, characters, characters in links, whether constant), summed by (host, pattern)
-before anything is shuffled; a host's patterns are merged in salted groups, so no task ever
+before anything is shuffled; a host's patterns are merged GROUP at a time, so no task ever
 holds the pages of a host.
 
 The wrapper then says which slots are the article: inside the box that holds the main text,
@@ -17,8 +17,9 @@ is read with its wrapper.
 Template text that stands inside a repeated group of article blocks, with no mark of its own,
 is part of that group and stays.
 
-Null and empty pages, and pages without text, give "". A null url is the host "". Repeated
-rows count as pages each. Pages of any length are read whole.
+Null and empty pages, and pages without text, give "". A null url is the host "". Copies of
+a page are one piece of evidence. Pages of any length are read whole; boxes nested deeper than
+DEPTH belong to the box that is so deep.
 """
 
 from __future__ import annotations
@@ -34,18 +35,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import lean, materialize, sliced
 from .redirects import host_of
 
+# A quote begins a value only right after "=".
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|select|title|object|math|head)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<[!?][^>]*(?:>|\Z)"
-    r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)"""
+    r"|<[!?][^>]*+(?:>|\Z)"
+    r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|))*+)(?:>|\Z)"""
     r"|(?P<text>[^<]+)|(?P<odd><)",
-    re.S | re.I,
+    re.S,
 )
 ATTRS = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+# Elements whose content is no text of the page; those of the first kind end with the page if nothing ends them.
+RAW = frozenset("script style".split())
+SKIPPED = RAW | frozenset("noscript template svg iframe textarea select title object math".split())
 # HTML elements by what they do to the text around them.
 BOXES = frozenset("html body div section article main nav header footer aside form ul ol dl table figure fieldset blockquote details dialog menu button label".split())
 MARKS = frozenset("p h1 h2 h3 h4 h5 h6 li br tr td th dt dd pre hr figcaption caption summary address center thead tbody tfoot legend option".split())
@@ -56,8 +60,9 @@ ROLES = re.compile(
     re.I,
 )
 MAIN = re.compile(r"(?:^|[-_\s])(?:article|main|content|post|entry|story|body|text)(?:$|[-_\s])", re.I)
-SALTS = 16
-SURE = 8  # pages that must agree before constant text is template
+DEPTH = 120
+GROUP = 256  # patterns or wrappers that one task merges
+SURE = 8  # different pages that must agree before constant text is template
 
 
 class Unit:
@@ -94,7 +99,10 @@ def parse(page: str | None) -> Box:
                 stack[-1].kids.append(unit)
             unit = None
 
-    for m in TOKEN.finditer(page or ""):
+    page, at, open_ended = page or "", 0, set()
+    while at < len(page):
+        m = TOKEN.match(page, at)
+        at = m.end()
         kind = m.lastgroup
         if kind in ("text", "odd"):
             if unit is None:
@@ -104,28 +112,45 @@ def parse(page: str | None) -> Box:
                 unit.linked += len(m[0].strip())
         elif m["tag"]:
             tag = m["tag"].lower()
-            if tag in BOXES:
+            if tag in SKIPPED:
+                if not m["end"] and not m["attrs"].endswith("/") and tag not in open_ended:
+                    stop = _END[tag].search(page, at)
+                    if stop:
+                        at = stop.end()
+                    elif tag in RAW:
+                        at = len(page)
+                    else:
+                        open_ended.add(tag)  # nothing ends it: its tags alone are skipped
+            elif tag in BOXES:
                 flush()
                 if not m["end"]:
                     if not m["attrs"].endswith("/"):
-                        box = Box(_key(tag, m["attrs"]))
-                        stack[-1].kids.append(box)
+                        if len(stack) < DEPTH:
+                            box = Box(_key(tag, m["attrs"]))
+                            stack[-1].kids.append(box)
+                        else:
+                            box = Box(tag)
+                            box.kids = stack[-1].kids
                         stack.append(box)
                 else:
-                    at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].key.partition(".")[0] == tag), 0)
-                    if at:
-                        del stack[at:]
+                    i = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].key.partition(".")[0] == tag), 0)
+                    if i:
+                        del stack[i:]
                 links = 0 if tag not in ("label", "button") else links
             elif tag in MARKS:
+                before = unit.key if unit is not None and tag == "br" else None
                 flush()
                 if not m["end"]:
-                    unit = Unit(_key(tag, m["attrs"]))
+                    unit = Unit(_key(tag, m["attrs"]) if before in (None, "#") else before)  # a line break doesn't end the block's mark
             elif tag == "a":
                 links = 0 if m["end"] else 1
     flush()
     return stack[0]
 
 
+_END = {tag: re.compile(rf"</{tag}\s*+(?:>|\Z)", re.I) for tag in SKIPPED}
+
+
 # A pattern is a list of items [key, kids or None, units]; a repeated group is one item.
 
 
@@ -169,10 +194,10 @@ def slots(items: list):
 
 
 # A wrapper is a list of nodes [key, kids or None, pages, blocks, chars, linked, same, optional];
-# same: CRC of the text while it never differs, else -1.
+# pages: hashes of different pages that have it, the SURE least; same: CRC of the text while it never differs, else -1.
 
 
-def as_wrapper(shape: list, evidence: list, pages: int) -> list:
+def as_wrapper(shape: list, evidence: list, pages: list[int]) -> list:
     left = iter(evidence)
 
     def build(items):
@@ -191,13 +216,17 @@ def _name(node: list) -> str:
     return f"[{node[0]}:{node[1][0][0] if node[1] else ''}]"  # plain boxes go by what they begin with
 
 
+def _least(a: list[int], b: list[int]) -> list[int]:
+    return a if a == b else sorted({*a, *b})[:SURE]
+
+
 def merge(a: list, b: list) -> list:
     """One wrapper for both: mismatches become optional."""
     out = []
     for what, i, j, k, m in _aligned(a, b):
         if what == "equal":
             for x, y in zip(a[i:j], b[k:m], strict=True):
-                both = [x[0], None if x[1] is None else merge(x[1], y[1]), *(p + q for p, q in zip(x[2:6], y[2:6], strict=True))]
+                both = [x[0], None if x[1] is None else merge(x[1], y[1]), _least(x[2], y[2]), *(p + q for p, q in zip(x[3:6], y[3:6], strict=True))]
                 out.append([*both, x[6] if x[6] == y[6] else -1, x[7] or y[7]])
         else:
             out += [[*x[:7], True] for x in (*a[i:j], *b[k:m])]
@@ -259,7 +288,7 @@ def article(wrapper: list) -> set[int]:
                 continue
             if n[1] is not None:
                 walk(n[1], True)
-            elif not (n[5] > 0.6 * n[4] or varies and n[6] != -1 and n[2] >= SURE):
+            elif not (n[5] > 0.6 * n[4] or varies and n[6] != -1 and len(n[2]) >= SURE):
                 kept.add(id(n))
 
     walk(roots, True)
@@ -313,24 +342,27 @@ def _bare(items: list) -> list:
     return [[k, None if kids is None else _bare(kids)] for k, kids, _ in items]
 
 
-EVIDENCE = "host string, sig long, salt int, pages long, pattern string, evidence string"
+EVIDENCE = "host string, sig long, rows long, pages string, pattern string, evidence string"
 
 
+@lean
 def _evidence(batches):
-    for batch in batches:
+    for batch in sliced(batches, 2000):
         found: dict[int, list] = {}
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            _, items, sig = _read(host, page)
+            root, items, sig = _read(host, page)
             now = [[len(x[2]), sum(len(u.text) for u in x[2]), sum(min(u.linked, len(u.text)) for u in x[2]), crc32(x[2][0].text.encode("utf-8", "surrogatepass")) if len({u.text for u in x[2]}) == 1 else -1] for x in slots(items)]
             if not now:
                 continue
+            print_ = xxhash.xxh64_intdigest("\n".join(u.text for u in _units(root)).encode("utf-8", "surrogatepass"))
             if sig not in found:
-                found[sig] = [host, 1, json.dumps(_bare(items)), now]
+                found[sig] = [host, 1, [print_], json.dumps(_bare(items)), now]
             else:
                 found[sig][1] += 1
-                found[sig][3] = _added(found[sig][3], now)
-        rows = [(host, sig, sig % SALTS, pages, pattern, json.dumps(evidence)) for sig, (host, pages, pattern, evidence) in found.items()]
-        types = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.string()]
+                found[sig][2] = _least(found[sig][2], [print_])
+                found[sig][4] = _added(found[sig][4], now)
+        rows = [(host, sig, n, json.dumps(pages), pattern, json.dumps(evidence)) for sig, (host, n, pages, pattern, evidence) in found.items()]
+        types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
         yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, types, strict=True)], names=[c.split()[0] for c in EVIDENCE.split(", ")])
 
 
@@ -338,23 +370,40 @@ def _added(a: list, b: list) -> list:
     return [[x[0] + y[0], x[1] + y[1], x[2] + y[2], x[3] if x[3] == y[3] else -1] for x, y in zip(a, b, strict=True)]
 
 
+@lean
+def _summed(batches):
+    """Rows sorted by pattern: one for each, its evidence added."""
+    now, names = None, ["host", "sig", "rows", "pages", "pattern", "evidence"]
+
+    def out(rows):
+        columns = [[r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [json.dumps(r[3]) for r in rows], [r[4] for r in rows], [json.dumps(r[5]) for r in rows]]
+        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 3], strict=True)], names=names)
+
+    for batch in sliced(batches):
+        done = []
+        for host, sig, n, pages, pattern, evidence in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            pages, evidence = json.loads(pages), json.loads(evidence)
+            if now is not None and now[1] == sig:
+                now[2] += n
+                now[3], now[5] = _least(now[3], pages), _added(now[5], evidence)
+            else:
+                if now is not None:
+                    done.append(now)
+                now = [host, sig, n, pages, pattern, evidence]
+        yield out(done)
+    if now is not None:
+        yield out([now])
+
+
 def _wrapped(key, group):
-    """One wrapper of a salted group of patterns, most frequent first."""
+    """One wrapper of a group of patterns, most frequent first."""
     import pandas as pd
 
-    summed: dict[int, list] = {}
-    for sig, pages, pattern, evidence in zip(group["sig"], group["pages"], group["pattern"], group["evidence"], strict=True):
-        now = json.loads(evidence)
-        if sig in summed:
-            summed[sig][0] += pages
-            summed[sig][2] = _added(summed[sig][2], now)
-        else:
-            summed[sig] = [int(pages), pattern, now]
     wrapper: list = []
-    for _, (pages, pattern, evidence) in sorted(summed.items(), key=lambda x: (-x[1][0], x[0])):
-        own = as_wrapper(json.loads(pattern), evidence, pages)
+    for _, _, pages, pattern, evidence in sorted(zip(-group["rows"], group["sig"], group["pages"], group["pattern"], group["evidence"], strict=True)):
+        own = as_wrapper(json.loads(pattern), json.loads(evidence), json.loads(pages))
         wrapper = merge(wrapper, own) if wrapper else own
-    return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps(wrapper)]})
+    return pd.DataFrame({"host": [key[0]], "part": [int(key[1])], "wrapper": [json.dumps(wrapper)]})
 
 
 def _joined(key, group):
@@ -363,9 +412,10 @@ def _joined(key, group):
     wrapper: list = []
     for text in sorted(group["wrapper"], key=lambda t: (-len(t), t)):
         wrapper = merge(wrapper, json.loads(text)) if wrapper else json.loads(text)
-    return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps(wrapper)]})
+    return pd.DataFrame({"host": [key[0]], "part": [int(key[1])], "wrapper": [json.dumps(wrapper)]})
 
 
+@lean
 def _chosen(batches):
     known: dict[str, tuple] = {}
     for batch in batches:
@@ -380,9 +430,10 @@ def _chosen(batches):
         yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.bool_()))], names=["sig", "keep"])
 
 
+@lean
 def _blocks(batches):
     """Every block of a page in page order, with its slot."""
-    for batch in batches:
+    for batch in sliced(batches):
         sigs, slot, block = [], [], []
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             root, items, sig = _read(host, page)
@@ -395,13 +446,23 @@ def _blocks(batches):
         yield pa.record_batch(columns, names=["page_id", "url", "sig", "slot", "block"])
 
 
+PART = "host string, part long, wrapper string"
+
+
 def wrappers(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(host, wrapper) and (sig, keep): the wrapper of each host, and what it keeps of each pattern."""
     rows = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
-    evidence = materialize(rows.mapInArrow(_evidence, EVIDENCE), "patterns")
-    parts = evidence.groupBy("host", "salt").applyInPandas(_wrapped, "host string, wrapper string")
-    whole = materialize(parts.groupBy("host").applyInPandas(_joined, "host string, wrapper string"), "wrappers")
-    patterns = evidence.groupBy("host", "sig").agg(F.first("pattern").alias("pattern"))
+    evidence = rows.mapInArrow(_evidence, EVIDENCE)
+    # sig holds the host, so a host's patterns are dealt to all tasks
+    patterns = materialize(evidence.repartition("sig").sortWithinPartitions("sig").mapInArrow(_summed, EVIDENCE), "patterns")
+    parts = patterns.groupBy("host").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
+    dealt = patterns.join(parts, "host").withColumn("part", F.pmod("sig", "parts"))
+    whole = materialize(dealt.groupBy("host", "part").applyInPandas(_wrapped, PART), "wrappers")
+    while whole.agg(F.max("part")).first()[0]:  # hosts of many patterns: GROUP wrappers become one, until one is left
+        merged = whole.withColumn("part", F.floor(F.col("part") / GROUP)).groupBy("host", "part").applyInPandas(_joined, PART)
+        whole = materialize(merged, "wrappers")
+    whole = whole.select("host", "wrapper")
+    patterns = patterns.select("host", "sig", "pattern")
     keep = patterns.join(whole, "host").select("sig", "pattern", "wrapper").mapInArrow(_chosen, "sig long, keep array<boolean>")
     return whole, keep
 
