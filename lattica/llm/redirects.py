@@ -7,16 +7,23 @@ and none is allowed by one; allow takes precedence over block. What no decision
 allowed.
 
 A resource is scheme-free: host, path and query, without the fragment. Edges come from the
-pages (rel=canonical links and meta refresh) and, where given, a table of redirects. A null
-url, or one without "://", has empty host and path and stands alone.
+pages (every rel=canonical link and meta refresh outside comments and scripts, character
+references decoded, resolved by the page's base) and, where given, a table of redirects. A null
+url, or one without "://", has empty host and path and stands alone; null pages declare nothing.
+Repeated rows are judged each.
 """
 
 from __future__ import annotations
 
+import html as entities
+import re
+from urllib.parse import urljoin
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components
+from .common import connected_components, cut, lean, sliced
 
 #: The production rules (verdict, host, path).
 RULES = (
@@ -26,9 +33,11 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-ATTRIBUTE = r"""\s*=\s*["']?([^"'\s>]+)"""
-CANONICAL = rf"""(?i)<link\s(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*?\bhref{ATTRIBUTE}"""
-REFRESH = r"""(?i)<meta\s(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\burl\s*=\s*["']?([^"'\s>]+)"""
+# What is no markup of the page, and the tags that declare links; a quote begins a value only right after "=".
+HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title)\b[^>]*+>.*?(?:</\1\s*+>|\Z)", re.S | re.I)
+TAG = re.compile(r"""<(link|meta|base)\b((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|))*+)>""", re.I)
+ATTRIBUTE = re.compile(r"""([a-z][\w:.-]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+REFRESH = re.compile(r"""\s*[\d.]*\s*[;,]?\s*url\s*=\s*["']?([^"']+)""", re.I)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -46,19 +55,29 @@ def node_of(url: Column) -> Column:
     return F.when(F.contains(url, F.lit("://")), F.concat(host_of(url), F.when(F.startswith(rest, F.lit("/")), rest).otherwise(F.concat(F.lit("/"), rest))))
 
 
-def resolved(base: Column, link: Column) -> Column:
-    """An absolute link, from a link found in the page at base; null for other schemes and empty links."""
-    origin = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
-    folder = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*(?:/[^?#]*/|/)?)", 1)
-    slash = F.when(F.endswith(folder, F.lit("/")), folder).otherwise(F.concat(folder, F.lit("/")))
-    return (
-        F.when(F.length(link) == 0, None)
-        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
-        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None)
-        .when(F.startswith(link, F.lit("//")), F.concat(F.regexp_extract(base, r"(?s)^(.*?:)//", 1), link))
-        .when(F.startswith(link, F.lit("/")), F.concat(origin, link))
-        .otherwise(F.concat(slash, link))
-    )
+def targets(url: str | None, page: str | None) -> list[str]:
+    """The absolute urls that a page declares its own: every rel=canonical link and every meta refresh, by the page's base."""
+    if not url or "://" not in url or not page:
+        return []
+    base, found = None, []
+    for tag, raw in TAG.findall(HIDDEN.sub(" ", page)):
+        own = {k.lower(): entities.unescape(a or b or c).strip() for k, a, b, c in reversed(ATTRIBUTE.findall(raw))}  # of repeated attributes the first
+        kind = tag.lower()
+        if kind == "base":
+            base = base or own.get("href")
+        elif kind == "link" and "canonical" in own.get("rel", "").lower().split():
+            found.append(own.get("href"))
+        elif kind == "meta" and own.get("http-equiv", "").lower() == "refresh" and (m := REFRESH.match(own.get("content", ""))):
+            found.append(m[1].strip())
+    out = []
+    for link in filter(None, found):
+        try:
+            to = urljoin(urljoin(url, base or ""), link)
+        except ValueError:  # such as a broken IPv6 host
+            continue
+        if "://" in to:
+            out.append(to)
+    return out
 
 
 def own_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
@@ -72,8 +91,15 @@ def own_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 def page_links(pages: DataFrame) -> DataFrame:
     """src, dst: resources that the pages declare equal to their own."""
-    found = [resolved(F.col("url"), F.regexp_extract("html", p, 1)) for p in (CANONICAL, REFRESH)]
-    links = pages.where(F.lower("html").rlike("canonical|refresh")).select("url", F.explode(F.array(*found)).alias("to"))
+
+    @lean
+    def run(batches):
+        for batch in sliced(batches, 500):
+            pairs = [(u, to) for u, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for to in targets(u, page)]
+            yield pa.record_batch([pa.array([p[i] for p in pairs], pa.string()) for i in (0, 1)], names=["url", "to"])
+
+    some = pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).where(F.lower("html").rlike("canonical|refresh"))
+    links = some.mapInArrow(run, "url string, to string")
     return links.select(node_of(F.col("url")).alias("src"), node_of(F.col("to")).alias("dst")).where("src <> dst").distinct()
 
 
@@ -95,7 +121,7 @@ def judged(pages: DataFrame, redirects: DataFrame | None = None, rules=RULES) ->
     decided = parts.withColumn("own", own_rule(host, path, rules)[1]).groupBy("component").agg(
         F.bool_or(F.col("own") == "allow").alias("allowed"), F.bool_or(F.col("own") == "block").alias("blocked")
     )
-    spread = parts.join(decided, "component").select("node", F.when(F.col("allowed"), "allow").when(F.col("blocked"), "block").alias("shared"))
+    spread = parts.join(cut(decided), "component").select("node", F.when(F.col("allowed"), "allow").when(F.col("blocked"), "block").alias("shared"))
     out = rows.join(spread, "node", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("own", "shared", F.lit("allow")).alias("verdict"))
 
