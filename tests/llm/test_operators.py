@@ -4,16 +4,19 @@ import collections
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from tokenizers import Tokenizer
 
 from lattica.llm import decontaminate, digest, ngram_scores, packing, quality, redirects, simhash, substrings, tokenstore, wrappers
-from lattica.llm.common import connected_components, materialize
+from lattica.llm.common import Ranges, connected_components, key_ranges, materialize
 from lattica.llm.wordpieces import WordPieces
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -88,16 +91,34 @@ def test_plan_fits_any_histogram():
 
 def test_token_store(spark, docs, none):
     whole = Tokenizer.from_file(PATH)
-    stored = materialize(tokenstore.blocks(docs, PATH, 2, [5, 9]), "blocks")
+    stored = materialize(tokenstore.blocks(docs, PATH, 2, Ranges([5, 9])), "blocks")
     got = sorted(tokenstore.stored_documents(stored).collect(), key=lambda r: r["start"])
     ids = [(d, whole.encode(t or "", add_special_tokens=False).ids + [2]) for d, t in TEXTS]
     want = collections.Counter((d, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for d, x in ids)
     assert collections.Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == want
     assert [r["doc_id"] or -1 for r in got] == sorted(d or -1 for d, _ in ids)
     assert [r["start"] for r in got] == [0, *np.cumsum([r["n_tokens"] for r in got])[:-1].tolist()]
-    found = tokenstore.lookup(stored, spark.createDataFrame([(9,), (12,), (77,)], "doc_id long"), [5, 9]).collect()
+    found = tokenstore.lookup(stored, spark.createDataFrame([(9,), (12,), (77,)], "doc_id long"), Ranges([5, 9])).collect()
     assert {r["doc_id"]: r["ids"] for r in found} == {d: x for d, x in ids if d in (9, 12)}
-    assert tokenstore.stored_documents(materialize(tokenstore.blocks(none, PATH, 2, []), "blocks")).count() == 0
+    assert tokenstore.stored_documents(materialize(tokenstore.blocks(none, PATH, 2, Ranges([])), "blocks")).count() == 0
+
+
+def test_token_store_of_a_hot_key(spark, monkeypatch):
+    """Records of one key, and of no key, go on over blocks and shards."""
+    monkeypatch.setattr(tokenstore, "BLOCK_IDS", 40)
+    rows = [(None, f"a{k}") for k in range(60)] + [(2**60 + 1, f"b{k % 30}") for k in range(60)] + [(2**60 + 2 * k, None if k % 5 == 0 else prose(k % 9)) for k in range(30)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    ranges = tokenstore.shards(frame, 10)
+    stored = materialize(tokenstore.blocks(frame, PATH, 2, ranges), "blocks")
+    assert stored.agg(F.max("n_ids")).first()[0] <= 200
+    got = sorted(tokenstore.stored_documents(stored).collect(), key=lambda r: r["start"])
+    whole = Tokenizer.from_file(PATH)
+    ids = [(d, whole.encode(t or "", add_special_tokens=False).ids + [2]) for d, t in rows]
+    assert collections.Counter((r["doc_id"], r["ids_crc32"]) for r in got) == collections.Counter((d, zlib.crc32(np.array(x, "<u4").tobytes())) for d, x in ids)
+    assert [r["start"] for r in got] == [0, *np.cumsum([r["n_tokens"] for r in got])[:-1].tolist()]
+    assert [r["doc_id"] or -1 for r in got] == sorted(d or -1 for d, _ in rows)
+    found = tokenstore.lookup(stored, spark.createDataFrame([(2**60 + 1,), (2**60 + 4,), (3,)], "doc_id long"), ranges).collect()
+    assert collections.Counter((r["doc_id"], tuple(r["ids"])) for r in found) == collections.Counter((d, tuple(x)) for d, x in ids if d in (2**60 + 1, 2**60 + 4))
 
 
 def test_perfect_hash():
@@ -106,45 +127,259 @@ def test_perfect_hash():
     assert sorted(slots.tolist()) == list(range(len(keys)))
 
 
+def test_ranges_of_any_keys(spark):
+    own = random.Random(4)
+    for keys in ([2**60 + k * 10**9 for k in range(300)], [2**62 + k for k in range(300)], [own.randrange(-(2**63), 2**63) for _ in range(300)], [7] * 200 + list(range(100)), [None] * 150 + list(range(150)), [5], []):
+        rows = spark.createDataFrame([(k,) for k in keys], "doc_id long")
+        ranges = key_ranges(rows, 20)
+        hashes = np.array([own.randrange(-(2**63), 2**63) for _ in keys], np.int64)
+        plain = np.array([-(2**63) if k is None else k for k in keys], np.int64)
+        parts = ranges.of(plain, hashes)
+        order = np.lexsort((hashes, plain))
+        assert (np.diff(parts[order]) >= 0).all() and (len(parts) == 0 or parts.max() < len(ranges))
+        assert all(int(p) in ranges.spanned(int(k)) for p, k in zip(parts, plain, strict=True))
+        assert len(keys) < 100 or np.bincount(parts).max() <= 60
+
+
 def test_digests(spark, docs, none):
     rows = spark.createDataFrame([(1, "Straße  X"), (2, "STRASSE x "), (3, "ﬁn"), (4, "FIN"), (5, None), (6, " ")], "doc_id long, text string")
     groups = {r["doc_id"]: r["group_id"] for r in digest.exact_groups(rows).collect()}
     assert groups == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 5}
-    unique = [(d, t) for d, t in dict(TEXTS).items() if d is not None]
-    got = {r["doc_id"]: r for r in digest.compare_edited(spark.createDataFrame(unique, "doc_id long, text string"), rows_a_range=3).collect()}
-    order = sorted(unique)
-    for (d, t), (_, after) in zip(order, order[1:] + order[:1], strict=True):
-        t, after = t or "", after or ""
-        new = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
-        assert got[d]["edited_sha256"] == hashlib.sha256(new.encode()).hexdigest() and got[d]["n_chars"] == len(t)
-        assert got[d]["near_next"] == float(digest.canonical(t) == digest.canonical(after))
+    texts = [t for _, t in TEXTS]
+    for ids in (range(len(texts)), [2**60 + k * 10**9 for k in range(40)], [2**62 + 1 + k for k in range(40)], [k * 2**57 - 2**62 for k in range(40)], [-k for k in range(40)]):
+        unique = sorted((d, texts[k % len(texts)]) for k, d in enumerate(ids))
+        given = unique[:]
+        random.Random(1).shuffle(given)
+        frame = spark.createDataFrame(given, "doc_id long, text string").repartition(5)
+        for size in (1, 4, 1000):
+            got = {r["doc_id"]: r for r in digest.compare_edited(frame, rows_a_range=size).collect()}
+            assert len(got) == len(unique)
+            for (d, t), (_, after) in zip(unique, unique[1:] + unique[:1], strict=True):
+                t, after = t or "", after or ""
+                new = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+                form = digest.canonical(t)
+                assert (got[d]["edited_sha256"], got[d]["n_chars"], got[d]["digest"], got[d]["edited_digest"]) == (hashlib.sha256(new.encode()).hexdigest(), len(t), digest.digest(form), digest.digest(digest.canonical(new)))
+                assert got[d]["near_next"] == float(form == digest.canonical(after)) and got[d]["near_edited"] == float(form == digest.canonical(new))
     assert digest.compare_edited(docs).count() == len(TEXTS) and digest.compare_edited(none).count() == 0
 
 
-def test_substrings(docs, none):
-    words = [(d, (t or "").encode().split()) for d, t in TEXTS]
-    seen = collections.Counter(tuple(w[i : i + 35]) for _, w in words for i in range(len(w) - 34))
-    want = []
-    for d, w in words:
+def test_digests_of_an_id_that_many_rows_share(spark):
+    """A third of the rows without an id, a third with one: divided by hash, each row once, one cycle through all."""
+    rows = [(None, f"a{k}") for k in range(40)] + [(7, f"b{k}" if k % 2 else "same") for k in range(40)] + [(k, f"c{k}") for k in range(40)]
+    got = digest.compare_edited(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), rows_a_range=5).collect()
+    assert collections.Counter((r["doc_id"], r["digest"]) for r in got) == collections.Counter((d, digest.digest(digest.canonical(t))) for d, t in rows)
+    starts = collections.Counter(t[0] for _, t in rows)
+    ends = collections.Counter()
+    shas = {hashlib.sha256((t[: len(t) - len(t) // 2] + u[: len(t) // 2]).encode()).hexdigest(): u[0] for _, t in rows for _, u in rows}
+    for r in got:
+        ends[shas[r["edited_sha256"]]] += 1
+    assert starts == ends
+
+
+def test_digest_collisions(spark, monkeypatch):
+    """Texts whose digests collide have fingerprints of their own, repeated ids and edited texts too."""
+    rows = spark.createDataFrame([(1, "aa"), (1, "bb"), (2, "aa"), (3, "cc"), (3, "cc"), (4, "bb")], "doc_id long, text string")
+    found = rows.select("doc_id", F.lit("0" * 32).alias("digest"), F.sha2(F.encode("text", "utf-8"), 256).alias("form"), F.lit("0" * 32).alias("edited_digest"), F.sha2(F.encode(F.lit("bb"), "utf-8"), 256).alias("edited_form"))
+    monkeypatch.setattr(digest, "collisions", lambda docs, found: found.select("digest").distinct())
+    named = digest.confirmed(rows, found, {"edited_digest": "edited_form"}).collect()
+    assert len(named) == 6
+    by = collections.defaultdict(set)
+    for r in named:
+        by[r["form"]].add(r["fingerprint"])
+    assert all(len(v) == 1 for v in by.values()) and len({min(v) for v in by.values()}) == 3
+    assert {r["edited_fingerprint"] for r in named} == by[hashlib.sha256(b"bb").hexdigest()]
+
+
+def test_digest_collisions_are_found(spark):
+    found = spark.createDataFrame([(1, "x"), (2, "y")], "doc_id long, text string")
+    assert digest.collisions(found, digest.digests(found)).count() == 0
+
+
+def windows_removed(texts, window):
+    """By brute force: for each text the words covered by a window that starts anywhere else too."""
+    words = [(t or "").encode().split() for t in texts]
+    seen = collections.Counter(tuple(w[i : i + window]) for w in words for i in range(len(w) - window + 1))
+    out = []
+    for w in words:
         gone = bytearray(len(w))
-        for i in range(len(w) - 34):
-            if seen[tuple(w[i : i + 35])] > 1:
-                gone[i : i + 35] = b"\1" * 35
-        kept = [x for x, g in zip(w, gone, strict=True) if not g]
-        want.append((d, len(w), len(w) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
-    got = substrings.parsed(docs, substrings._digest_of, "n_words long, n_removed long, kept_sha256 string").collect()
+        for i in range(len(w) - window + 1):
+            if seen[tuple(w[i : i + window])] > 1:
+                gone[i : i + window] = b"\1" * window
+        out.append(gone)
+    return words, out
+
+
+def kept_digest(words, gone):
+    kept = [x for x, g in zip(words, gone, strict=True) if not g]
+    return len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()
+
+
+DIGEST = "n_words long, n_removed long, kept_sha256 string"
+
+
+def test_substrings(docs, none):
+    words, gone = windows_removed([t for _, t in TEXTS], 35)
+    want = [(d, *kept_digest(w, g)) for (d, _), w, g in zip(TEXTS, words, gone, strict=True)]
+    got = substrings.parsed(docs, substrings._digest_of, DIGEST).collect()
     assert collections.Counter(map(tuple, got)) == collections.Counter(want)
     assert substrings.deduplicated(docs).count() == len(TEXTS) and substrings.deduplicated(none).count() == 0
 
 
+@pytest.mark.parametrize("window", [3, 9, 35])
+def test_substrings_of_patched_texts(spark, window):
+    """Texts put together from pieces of each other, periodic ones, repeated rows."""
+    own = random.Random(window)
+    letters = [f"{k}" for k in range(30 if window < 35 else 300)]
+    pieces = [[own.choice(letters) for _ in range(own.randrange(1, 3 * window))] for _ in range(25)]
+    texts = [" ".join(w for _ in range(own.randrange(1, 6)) for w in own.choice(pieces) + [own.choice(letters)] * own.randrange(3)) for _ in range(150)]
+    texts += ["x " * 200, "x y " * 100, texts[0], texts[0], None, ""]
+    words, gone = windows_removed(texts, window)
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(6)
+    got = {r["doc_id"]: tuple(r)[1:] for r in substrings.parsed(rows, substrings._digest_of, DIGEST, window).collect()}
+    assert got == {k: kept_digest(w, g) for k, (w, g) in enumerate(zip(words, gone, strict=True))}
+
+
+def test_substrings_compare_words_not_hashes(spark):
+    """With word hashes of four bits nearly all windows collide: nothing is removed that isn't there twice."""
+    own = random.Random(8)
+    letters = [f"{k}" for k in range(40)]
+    shared = [own.choice(letters) for _ in range(30)]
+    texts = [" ".join([own.choice(letters) for _ in range(60)] + (shared if k % 3 == 0 else []) + [own.choice(letters) for _ in range(20)]) for k in range(60)]
+    words, gone = windows_removed(texts, 5)
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    found = substrings.parsed(rows, lambda raw, spans: (",".join(str(i) for a, b in spans for i in range(a, b)),), "gone string", 5, bits=1).collect()
+    removed = 0
+    for r in found:
+        places = [int(i) for i in r["gone"].split(",") if i]
+        assert all(gone[r["doc_id"]][i] for i in places)
+        removed += len(places)
+    assert removed > 0
+
+
+def test_factors_have_references(spark):
+    base = prose(200).split()
+    rows = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(["a", "b", *base[50:120], "c"])), (3, " ".join([*base[10:60], *base[150:200]])), (4, prose(100))], "doc_id long, text string")
+    plain = substrings._identified(rows)
+    found = sorted(tuple(r)[:1] + tuple(r)[2:5] + (r["rat"],) for r in substrings.parse(plain).collect() if r["doc"] in (2, 3))
+    assert found == [(2, 2, 70, 1, 50), (3, 0, 50, 1, 10), (3, 50, 50, 1, 150)]
+
+
+def test_spans():
+    words = [b"%d" % (k % 7) for k in range(40)]
+    other = words[5:25]
+    assert substrings.spans(words, [(5, other)], 4) == [(5, 25)]
+    other = [*other[:9], b"z", *other[10:]]
+    assert substrings.spans(words, [(5, other)], 4) == [(5, 14), (15, 25)] and substrings.spans(words, [(5, other)], 10) == [(15, 25)]
+    assert substrings.spans(words, [(38, [b"3", b"4", b"5"])], 2) == [(38, 40)] and substrings.spans(words, [], 4) == []
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """Extra columns named as the operators' own, a null, an empty, a very long text, repeated rows and ids."""
+    names = "hits h z doc vid keys row r1 r2 k1 k2 node component fp bits role x0 c0 n part key ids shard part_before rank digest form text_ n_chars".split()
+    long = prose(60_000)
+    texts = [(1, BASE), (2, BASE), (2, BASE), (None, None), (5, ""), (6, long), (7, f"{long} end"), (8, f"{prose(10)} {SHARED}"), (9, f"{SHARED} {prose(10)}"), (9, "another text of the same id")]
+    kinds = ", ".join(f"{n} {'long' if n == 'n_chars' else 'string'}" for n in names)
+    return materialize(spark.createDataFrame([(d, t, *[len(t or "") if n == "n_chars" else n for n in names]) for d, t in texts], f"doc_id long, text string, {kinds}"), "clashing")
+
+
+def test_operators_with_clashing_columns(spark, clashing):
+    labels = spark.createDataFrame([(1, 1, 0, 7), (2, 0, 0, 7), (2, 0, 1, 7)], "doc_id long, quality int, toxic int, text int")
+    bench = spark.createDataFrame([(0, " ".join(BASE.split()[20:60]), 3)], "item_id long, text string, doc_id int")
+    assert substrings.deduplicated(clashing).columns == clashing.columns
+    cut = {(r["doc_id"], r["text"]): r for r in substrings.deduplicated(clashing).collect()}
+    assert len(cut[9, "another text of the same id"]) == len(clashing.columns) and all(r["h"] == "h" and r["z"] == "z" and r["n_chars"] == len(r["text"]) for r in cut.values())
+    kept = simhash.one_of_each(clashing)
+    rows = kept.collect()
+    assert kept.columns == clashing.columns and collections.Counter(r["doc_id"] for r in rows) == collections.Counter([1, 6, 8, 9, 9, 5]) and all(r["row"] == "row" and r["r1"] == "r1" for r in rows)
+    assert quality.kept(clashing, labels).columns == clashing.columns and quality.kept(clashing, labels.limit(0)).count() == clashing.count()
+    clean = decontaminate.clean(clashing, bench)
+    assert clean.columns == clashing.columns and {r["doc_id"] for r in clean.collect()} == {None, 5, 6, 7, 8, 9}
+    assert decontaminate.clean(clashing, bench.limit(0)).count() == clashing.count()
+    assert packing.pack(clashing, PATH).agg(F.sum("length")).first()[0] > 60_000
+    assert digest.compare_edited(clashing).count() == digest.exact_groups(clashing).count() == clashing.count() == ngram_scores.stupid_backoff(clashing).count()
+    assert tokenstore.stored_documents(materialize(tokenstore.blocks(clashing, PATH, 2, tokenstore.shards(clashing, 2)), "blocks")).count() == clashing.count()
+    assert simhash.simhash_components(clashing).count() == clashing.count()
+
+
 def test_simhash(docs, none):
-    got = {r["doc_id"]: r for r in simhash.simhash_components(docs).collect()}
-    assert got[1]["component_id"] == got[2]["component_id"] == 1 and got[None]["component_id"] is None
-    assert got[4]["fp"] == got[5]["fp"] == got[6]["fp"] == 0 and got[5]["component_id"] == 4
+    rows = docs.collect()
+    got = simhash.simhash_components(docs).collect()
+    want = {}
+    for d, t in [tuple(r) for r in rows]:
+        words = [w for w in re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))]
+        shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
+        hashes = [xxhash.xxh64_intdigest(x.encode(), 42) for x in shingles]
+        want.setdefault(d, set()).add(sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes)))
+    fps = collections.defaultdict(set)
+    for r in got:
+        fps[r["doc_id"]].add(r["fp"] & (1 << 64) - 1)
+    assert fps == want
+    nodes = [(r["doc_id"], r["fp"] & (1 << 64) - 1) for r in got]
+    up = list(range(len(nodes)))
+    for _ in nodes:  # the least index of a component, by brute force
+        up = [min(up[j] for j, (_, g) in enumerate(nodes) if (f ^ g).bit_count() <= 4) for _, f in nodes]
+    for i, r in enumerate(got):
+        least = min(d for (d, _), u in zip(nodes, up, strict=True) if u == up[i] and d is not None) if r["doc_id"] is not None else None
+        assert r["component_id"] == least
     assert simhash.simhash_components(none).count() == 0
-    near = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()}
-    assert near[3] == near[2] == 1 and near[7] == 7 and near[12] == 12
-    assert {r["doc_id"] for r in simhash.one_of_each(docs).collect()} >= {None, 1, 4, 7, 8, 9, 10, 11, 12, 14}
+
+
+def alike(texts, least=0.8):
+    """Components over an exact Jaccard similarity of five-word shingles, as sets of indexes."""
+    def of(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, up = [of(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if (len(a & b) >= least * len(a | b)) if a or b else True:
+                up[max(find(i), find(j))] = min(find(i), find(j))
+    groups = collections.defaultdict(set)
+    for i in range(len(texts)):
+        groups[find(i)].add(i)
+    return set(map(frozenset, groups.values()))
+
+
+def test_near_copies_equal_brute_force(spark, none):
+    """Copies with any share of their words changed, short ones too: just those of similarity 0.8 or more are joined."""
+    own = random.Random(21)
+    texts = []
+    for _ in range(60):
+        base = [own.choice(WORDS) for _ in range(own.choice((6, 9, 14, 30, 80, 200)))]
+        texts.append(" ".join(base))
+        for _ in range(4):
+            changed = base[:]
+            for _ in range(own.choice((0, 1, 1, 2, 4))):
+                changed[own.randrange(len(changed))] = own.choice(WORDS)
+            texts.append(" ".join(changed) if own.random() < 0.8 else " ".join(changed).upper())
+    texts += [None, "", "  "]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    groups = collections.defaultdict(set)
+    for r in simhash.near_copies(rows).collect():
+        groups[r["component"]].add(r["doc_id"])
+    assert set(map(frozenset, groups.values())) == alike(texts)
+    assert {r["doc_id"] for r in simhash.one_of_each(rows).collect()} == {min(g) for g in alike(texts)}
+    assert simhash.one_of_each(none).count() == 0
+
+
+def test_one_of_each_of_repeated_ids(spark):
+    """Of equal rows one stays, and a row's fate isn't that of another with its id."""
+    rows = [(1, BASE), (1, BASE), (1, prose(50)), (2, BASE), (2, prose(60)), (None, BASE), (None, prose(70)), (None, None), (3, None), (4, "")]
+    kept = simhash.one_of_each(spark.createDataFrame([(d, t, k) for k, (d, t) in enumerate(rows)], "doc_id long, text string, place long").repartition(3)).collect()
+    assert sorted(r["place"] for r in kept if r["place"] > 1) == [2, 4, 6, 8] and len(kept) == 5
+
+
+def test_least_forest():
+    i, j, d = np.array([0, 0, 1, 3]), np.array([1, 2, 2, 4]), np.array([9, 5, 4, 1])
+    assert sorted(simhash._forest(i, j, d, 5).tolist()) == [1, 2, 3]
 
 
 @pytest.mark.parametrize("n", [40, 300])
@@ -178,6 +413,77 @@ def test_redirects(spark):
     assert got[4] == got[5] == ("", "", None, "allow") and got[9][:2] == ("z.net", "") and got[11][2] == "org/"
 
 
+def test_link_targets():
+    of = lambda url, html: redirects.targets(url, html)
+    assert of("http://a.net/d/e?q#f", '<link href="http://b.net/x?a=1&amp;b=2" rel="Canonical alternate">') == ["http://b.net/x?a=1&b=2"]
+    assert of("http://a.net/d/e", '<link rel=canonical href="?y=1"><link rel=canonical href=../z>') == ["http://a.net/d/e?y=1", "http://a.net/z"]
+    assert of("http://a.net/d/e", "<base href='/k/'><meta http-equiv=refresh content='3;URL=\"n\"'>") == ["http://a.net/k/n"]
+    assert of("http://a.net/", '<!-- <link rel=canonical href=/x> --><script>"<link rel=canonical href=/y>"</script><link rel=canonical href="mailto:z@z">') == []
+    assert of(None, "<link rel=canonical href=/x>") == of("nourl", "<link rel=canonical href=/x>") == of("http://a.net", None) == []
+
+
+def test_redirects_equal_brute_force(spark):
+    own = random.Random(12)
+    hosts = ["a.net", "x.com", "www.example.org", "k.org", "b.net"]
+    urls = [f"http://{own.choice(hosts)}/{own.choice(('de', 'fr', 'es', 'en', 'q'))}/{k % 60}" for k in range(300)]
+    pages = [(k, u, "".join(f"<link rel='canonical' href='{own.choice(urls)}'>" for _ in range(own.choice((0, 0, 1, 1, 2))))) for k, u in enumerate(urls)] + [(900, None, None), (900, None, None), (901, urls[0], None)]
+    table = [(own.choice(urls), own.choice(urls)) for _ in range(20)] + [(None, urls[0])]
+    node = lambda u: u.split("://")[1]
+    links = [(node(u), node(to)) for _, u, html in pages for to in re.findall("href='(.*?)'", html or "")] + [(node(a), node(b)) for a, b in table if a]
+    group = {n: {n} for pair in links for n in pair}
+    for a, b in links:
+        if group[a] is not group[b]:
+            both = group[a] | group[b]
+            group.update(dict.fromkeys(both, both))
+
+    def rule(n):
+        host, _, path = n.partition("/")
+        fit = [(len(h) + len(p), v, h + p) for v, h, p in redirects.RULES if (host == h or host.endswith("." + h)) and f"/{path}".startswith(p)]
+        return max(fit)[1:] if fit else (None, None)
+
+    want = collections.Counter()
+    for k, u, _ in pages:
+        own_verdict, which = rule(node(u)) if u else (None, None)
+        shared = {rule(n)[0] for n in group.get(node(u), ())} if u else set()
+        want[k, which, own_verdict or ("allow" if "allow" in shared else "block" if "block" in shared else "allow")] += 1
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = redirects.judged(frame, spark.createDataFrame(table, "from_url string, to_url string")).collect()
+    assert collections.Counter((r["page_id"], r["rule"], r["verdict"]) for r in got) == want
+    assert redirects.judged(frame.limit(0)).count() == 0
+
+
+def texts_of(page):
+    return [u.text for u in wrappers._units(wrappers.parse(page))]
+
+
+def test_parse_of_legal_and_broken_pages():
+    assert texts_of("<head><title>t</title><meta charset=x><body><p>one</p>") == ["one"]
+    assert texts_of("<svg class=a /><p>one</p><select><p>two<iframe src=x><p>three</p>") == ["one", "two", "three"]
+    assert texts_of('<p title=5">one</p><p title="a>b">two</p><p title=\'c>d\'>three</p><p title="x>four') == ["one", "two", "three", "four"]
+    assert texts_of("<p>a<script>var x = '<p>no</p>';") == ["a"]
+    assert [(u.key, u.text) for u in wrappers._units(wrappers.parse("<p class=advert>Buy<br>now</p><br>x"))] == [("p.advert", "Buy"), ("p.advert", "now"), ("br", "x")]
+    deep = "<div>" * 5000 + "<p>deep</p>" + "</div>" * 5000 + "<p>after</p>"
+    assert texts_of(deep) == ["deep", "after"]
+    assert len(texts_of("<select>" * 20_000 + "x")) == 1
+
+
+def test_wrappers_on_odd_tables(spark):
+    """Deep pages, copies of one page, an empty table, repeated rows; a host of many patterns."""
+    deep = "<div>" * 3000 + "<p>The deep text stays as it is</p>" + "</div>" * 3000
+    copy = "<html><body><div id=content><h1>One title</h1><blockquote>A quotation</blockquote><p>Body of the article</p></div>"
+    other = lambda n: f"<html><body><div id=content><h1>Title {n}</h1><p>Body {n} of it</p></div>"
+    rows = [(1, "http://d.net/", deep)] + [(10 + k, "http://c.net/", copy) for k in range(12)] + [(30 + k, "http://c.net/", other(k)) for k in range(12)] + [(50, "http://c.net/", other(3))] * 2
+    many = "".join
+    for k in range(700):  # each page a pattern of its own
+        body = many(f"<{t}>{t} {k} {i}</{t}>" for i, t in enumerate(random.Random(k).choices(["p", "h2", "pre", "h3"], k=8)))
+        rows.append((1000 + k, "http://m.net/", f"<div class=menu><a href=/>Home</a></div><article>{body}</article><footer>f {k}</footer>"))
+    got = {r["page_id"]: r["text"] for r in wrappers.extracted(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)).collect()}
+    assert got[1] == "The deep text stays as it is" and got[50] == "Title 3\nBody 3 of it"
+    assert all(got[10 + k] == "One title\nA quotation\nBody of the article" for k in range(12))
+    assert all(len(got[1000 + k].split("\n")) == 8 and f" {k} " in got[1000 + k] and "Home" not in got[1000 + k] for k in range(700))
+    assert wrappers.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_wrappers(spark):
     page = lambda n, body: f"<html><head><title>t{n}</title></head><body><div class='menu'><a href=/>Home</a></div><nav><ul><li><a>x{n}</a></li><li><a>y</a></li></ul></nav><div id=content><h1>Title &amp; {n}</h1>{body}<h4>Share this page</h4></div><div class='comments'><p>Reader {n} says a lot about it all</p></div><footer>&copy; {n}</footer>"
     rows = [(n, "http://h.net/p", page(n, "".join(f"<p>Some words {n} {k} <b>and\n more</b>" for k in range(1 + n % 4)))) for n in range(20)] + [(90, None, None), (91, "http://h.net/q", "")]
@@ -201,12 +507,14 @@ def test_language_model(docs, none):
     pairs = collections.Counter((own(a), own(b)) for _, x in words for a, b in zip(x, x[1:], strict=False))
     want = []
     for d, x in words:
-        score = math.log(uni[own(x[0])] / total) if x else 0.0
+        score, backed = math.log(uni[own(x[0])] / total) if x else 0.0, 0
         for a, b in zip(x, x[1:], strict=False):
             n = pairs[own(a), own(b)]
-            score += math.log(n / uni[own(a)]) if n >= 2 else math.log(0.4 * uni[own(b)] / total)
-        want.append((d or -1, len(x), round(score, 6)))
-    got = [(r["doc_id"] or -1, r["n_words"], round(r["log_score"], 6)) for r in ngram_scores.stupid_backoff(docs, most).collect()]
+            mine = sum((own(p), own(q)) == (own(a), own(b)) for p, q in zip(x, x[1:], strict=False))
+            score += math.log(n / uni[own(a)]) if n > mine else math.log(0.4 * uni[own(b)] / total)
+            backed += n == mine
+        want.append((d or -1, len(x), round(score, 6), backed))
+    got = [(r["doc_id"] or -1, r["n_words"], round(r["log_score"], 6), r["n_backed_off"]) for r in ngram_scores.stupid_backoff(docs, most).collect()]
     assert sorted(got) == sorted(want)
     assert ngram_scores.stupid_backoff(none).count() == 0
 
@@ -215,6 +523,7 @@ def test_language_model(docs, none):
 def test_every_word_has_its_own_count(spark, monkeypatch, numbered):
     monkeypatch.setattr(ngram_scores, "VOCABULARY", numbered)
     monkeypatch.setattr(ngram_scores, "HOT", 8)
+    monkeypatch.setattr(ngram_scores, "WORDS_A_BUCKET", 200)
     own = random.Random(9)
     words = [f"{k:x}" for k in range(80_000)]
     texts = [[own.choice(words[: own.choice((20, 300, 80_000))]) for _ in range(own.randrange(40))] for _ in range(300)]
@@ -225,13 +534,14 @@ def test_every_word_has_its_own_count(spark, monkeypatch, numbered):
     pairs = collections.Counter(p for x in texts for p in zip(x or [], (x or [])[1:], strict=False))
     total, want = sum(uni.values()), {}
     for d, x in enumerate(texts):
-        score = math.log(uni[x[0]] / total) if x else 0.0
+        score, mine, backed = math.log(uni[x[0]] / total) if x else 0.0, collections.Counter(zip(x or [], (x or [])[1:], strict=False)), 0
         for v, w in zip(x or [], (x or [])[1:], strict=False):
-            score += math.log(pairs[v, w] / uni[v]) if pairs[v, w] >= 2 else math.log(0.4 * uni[w] / total)
-        want[d] = (len(x or []), round(score, 5))
+            score += math.log(pairs[v, w] / uni[v]) if pairs[v, w] > mine[v, w] else math.log(0.4 * uni[w] / total)
+            backed += pairs[v, w] == mine[v, w]
+        want[d] = (len(x or []), round(score, 5), backed)
     rows = spark.createDataFrame([(d, None if x is None else " ".join(x)) for d, x in enumerate(texts)], "doc_id long, text string").repartition(4)
     got = ngram_scores.stupid_backoff(rows).collect()
-    assert len(got) == len(texts) and {r["doc_id"]: (r["n_words"], round(r["log_score"], 5)) for r in got} == want
+    assert len(got) == len(texts) and {r["doc_id"]: (r["n_words"], round(r["log_score"], 5), r["n_backed_off"]) for r in got} == want
 
 
 def test_quality(spark, docs, none):
