@@ -7,22 +7,28 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import from_variant
 from ..operators.merge import merge_state
 
+SPLIT = ("file_modification_time", "file_path", "file_block_start")
+
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """seq, entry (VARIANT) of every line that is JSON; blank and torn lines are dropped, wherever they are.
 
-    seq orders lines by file and place in it, as the log was written.
+    seq orders lines as the log was written: files by modification time and path, splits of a
+    file by their start, lines by their place in the split.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-    rows = lines.withColumn("line", F.monotonically_increasing_id()).where("trim(value) <> ''")
-    entries = rows.select("line", F.try_parse_json("value").alias("entry")).where("entry is not null")
-    return entries.withColumnRenamed("line", "seq")
+    lines = spark.read.text(path).select("value", *(F.col(f"_metadata.{c}").alias(c) for c in SPLIT))
+    splits = lines.select(*SPLIT).distinct()  # one row a split, so few
+    ranked = splits.withColumn("split__", F.row_number().over(Window.orderBy(*SPLIT)))
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # within the task, whose rows are in file order
+    rows = lines.withColumn("place__", place).join(ranked, list(SPLIT)).where("trim(value) <> ''")
+    seq = F.shiftleft(F.col("split__").cast("long"), 33).bitwiseOR(F.col("place__"))
+    return rows.select(seq.alias("seq"), F.try_parse_json("value").alias("entry")).where("entry is not null")
 
 
 def writes(entries: DataFrame) -> DataFrame:
