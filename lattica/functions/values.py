@@ -87,13 +87,15 @@ def js_number_to_string(c: Column) -> Column:
     )
 
 
-def canonical_value(v: Column) -> Column:
-    """The text that decides ties: '#' and the soul of a reference, JSON of what is nested, else the value's own text."""
+def canonical_value(v: Column, numbers: bool = True) -> Column:
+    """The text that decides ties: '#' and the soul of a reference, JSON of what is nested, else the value's own text.
+
+    numbers: whether numbers have one too; it is a long expression, which callers that never need it leave out.
+    """
+    own = F.when(v["kind"] == "ref", F.concat(F.lit("#"), v["str"])).when(v["kind"] == "json", v["json"])
+    own = own.when(v["kind"] == "number", js_number_to_string(v["num"])) if numbers else own
     return (
-        F.when(v["kind"] == "ref", F.concat(F.lit("#"), v["str"]))
-        .when(v["kind"] == "json", v["json"])
-        .when(v["kind"] == "number", js_number_to_string(v["num"]))
-        .when(v["kind"] == "boolean", v["bool"].cast("string"))
+        own.when(v["kind"] == "boolean", v["bool"].cast("string"))
         .when(v["kind"] == "null", "null")
         .otherwise(v["str"])
     )

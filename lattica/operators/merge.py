@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.values import VALUE, canonical_value, js_number
+from .folds import fold
 
 WRITE = T.StructType(
     [T.StructField("soul", T.StringType()), T.StructField("field", T.StringType()), T.StructField("value", VALUE), T.StructField("ts", T.DoubleType()), T.StructField("lamport", T.DoubleType()), T.StructField("seq", T.LongType())]
@@ -38,7 +39,8 @@ def lww(writes: DataFrame) -> DataFrame:
     Equal to the ordered fold where every write has a Lamport clock, no guard fires and the
     values of a tie are of one kind.
     """
-    order = F.struct(F.coalesce("lamport", F.lit(-float("inf"))), F.col("ts"), F.col("value.num"), canonical_value(F.col("value")))
+    text = F.when(F.col("value.kind") != "number", canonical_value(F.col("value"), numbers=False))  # numbers tie by size
+    order = F.struct(F.coalesce("lamport", F.lit(-float("inf"))), F.col("ts"), F.col("value.num"), text)
     best = F.max_by(F.struct("value", "ts", "lamport"), order)
     return finite(writes).groupBy("soul", "field").agg(best.alias("w")).select("soul", "field", "w.value", "w.ts", "w.lamport")
 
@@ -135,6 +137,25 @@ def within_call(writes: DataFrame, call: str) -> DataFrame:
     return writes.join(large, call, "left_anti")
 
 
+def local_clock(calls: DataFrame) -> DataFrame:
+    """node, clock: the local Lamport clock of each node after its calls, folded by seq from 0.
+
+    calls: node, seq, accepted (whether any field was), lamport (the call's own clock, null for
+    a local write), by_field (the greatest clock stored for an accepted field, where a call
+    had clocks by field, else null). Rejected calls move nothing; no call moves the clock by
+    more than LAMPORT_JUMP and one.
+    """
+
+    def step(clock, accepted, lamport, by_field):
+        if not accepted:
+            return clock
+        if by_field is not None:
+            return max(clock, min(by_field, clock + LAMPORT_JUMP))
+        return max(clock, min(lamport, clock + LAMPORT_JUMP)) + 1 if lamport is not None else clock + 1
+
+    return fold(calls, "node", "seq", ["accepted", "lamport", "by_field"], 0.0, step, float, "clock")
+
+
 def replay_clock(state: DataFrame) -> DataFrame:
     """clock: the local Lamport clock after a replay, the greatest stored one, 0 for none."""
     return state.agg(F.coalesce(F.max("lamport"), F.lit(0.0)).alias("clock"))
