@@ -16,6 +16,10 @@ class QueryError(ValueError):
     pass
 
 
+class Every:
+    """Stands for every soul of a collection."""
+
+
 @dataclass(frozen=True)
 class Query:
     """One level: what to select, keep, order and cut, and the references to follow."""

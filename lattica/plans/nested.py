@@ -15,17 +15,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ast import Query, QueryError, Root, normalise
+from .ast import Every, Query, QueryError, Root, normalise
 
 SOUL, FIELDS, CUT = "soul", "_fields", "_depthExceeded"
+#: For souls of a root: every node of the collection.
+ALL = Every()
 
 
 @dataclass
 class Graph:
-    """Node tables by collection, and where the references of a collection lead: (collection, field) -> collection."""
+    """Node tables by collection, and where the references of a collection lead.
+
+    refs: (collection, field) -> collection, or several whose nodes it may lead to. inverse:
+    (collection, field) -> (collection, column) for a list that its members hold: those whose
+    column is the soul, in the order of their souls. Such a list is joined on the members' own
+    column, without an array of souls.
+    """
 
     nodes: Mapping[str, DataFrame]
-    refs: Mapping[tuple[str, str], str] = field(default_factory=dict)
+    refs: Mapping[tuple[str, str], str | tuple[str, ...]] = field(default_factory=dict)
+    inverse: Mapping[tuple[str, str], tuple[str, str]] = field(default_factory=dict)
+
+    def named(self, collection: str | tuple[str, ...]) -> DataFrame:
+        """The nodes of a collection, or of several by name."""
+        if isinstance(collection, str):
+            return self.nodes[collection]
+        first, *others = (self.nodes[c] for c in collection)
+        for other in others:
+            first = first.unionByName(other, allowMissingColumns=True)
+        return first
 
 
 def _kind(t: T.DataType) -> str:
@@ -108,7 +126,7 @@ def _order(query: Query, columns: list[str], last: str) -> list[Column]:
 
 def _level(graph: Graph, collection: str, query: Query, depth: int, most: int, nodes: DataFrame | None = None, keep: list[str] | None = None) -> tuple[DataFrame, list[str]]:
     """The resolved objects of a level, and the names of their columns; keep: columns carried along."""
-    nodes = filtered(graph.nodes[collection] if nodes is None else nodes, query)
+    nodes = filtered(graph.named(collection) if nodes is None else nodes, query)
     keep = keep or []
     shown = [f for f in dict.fromkeys(query.select) if f in nodes.columns and f not in (SOUL, FIELDS, CUT)]
     children = [] if depth > most else list(query.children)
@@ -123,8 +141,10 @@ def _level(graph: Graph, collection: str, query: Query, depth: int, most: int, n
             continue
         if alias in names:
             out, names = out.drop(alias), [n for n in names if n != alias]
-        target = graph.refs.get((collection, via))
-        if target is None or via not in vias:
+        target, held = graph.refs.get((collection, via)), graph.inverse.get((collection, via))
+        if held is not None and child.list:
+            out = _held(graph, *held, child, depth, most, out, alias)
+        elif target is None or via not in vias:
             out = out.withColumn(alias, F.array() if child.list else F.lit(None))
         elif child.list:
             out = _list(graph, target, child, depth, most, out, via, alias)
@@ -153,26 +173,50 @@ def _list(graph, target, child, depth, most, parents, via, alias) -> DataFrame:
     if child.sort is not None or child.limit is not None or child.offset:
         w = Window.partitionBy("__parent").orderBy(*_order(child, names, "__pos"))
         rows, rank = rows.withColumn("__rank", F.row_number().over(w)), "__rank"
-        start = child.offset or 0
-        if start:
-            rows = rows.where(F.col(rank) > start)
-        if child.limit is not None:
-            rows = rows.where(F.col(rank) <= start + child.limit)
+        rows = _cut(rows, child)
+    return _with_lists(parents, rows, rank, names, alias)
+
+
+def _held(graph, target, column, child, depth, most, parents, alias) -> DataFrame:
+    """The list of the nodes whose column is the parent's soul."""
+    rows, names = _level(graph, target, child, depth + 1, most, graph.named(target).withColumn("__parent", F.col(column)).where("__parent is not null"), ["__parent"])
+    rank = SOUL
+    if child.sort is not None or child.limit is not None or child.offset:
+        w = Window.partitionBy("__parent").orderBy(*_order(child, names, SOUL))
+        rows, rank = rows.withColumn("__rank", F.row_number().over(w)), "__rank"
+        rows = _cut(rows, child)
+    return _with_lists(parents, rows, rank, names, alias)
+
+
+def _cut(rows: DataFrame, child: Query) -> DataFrame:
+    start = child.offset or 0
+    rows = rows.where(F.col("__rank") > start) if start else rows
+    return rows if child.limit is None else rows.where(F.col("__rank") <= start + child.limit)
+
+
+def _with_lists(parents: DataFrame, rows: DataFrame, rank: str, names: list[str], alias: str) -> DataFrame:
+    """parents with the objects of rows(__parent) as a list by rank."""
     lists = rows.groupBy("__parent").agg(F.collect_list(F.struct(F.col(rank).alias("k"), _object(names).alias("o"))).alias("__all"))
     # by rank alone: what a list holds need not be orderable
-    lists = lists.select("__parent", F.transform(F.array_sort("__all", lambda a, b: a["k"] - b["k"]), lambda x: x["o"]).alias(alias))
-    out = parents.join(lists, F.col(SOUL) == F.col("__parent"), "left").drop("__parent")
+    by_rank = lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0)
+    lists = lists.select(F.col("__parent").alias("__of"), F.transform(F.array_sort("__all", by_rank), lambda x: x["o"]).alias(alias))
+    out = parents.join(lists, F.col(SOUL) == F.col("__of"), "left").drop("__of")  # parents may themselves carry a __parent
     return out.withColumn(alias, F.coalesce(alias, F.array()))
 
 
 def select(graph: Graph, collection: str, query: dict | Root) -> DataFrame:
-    """The rows of a query, in order. souls may be a list or a DataFrame with soul and, for their order, ord."""
+    """The rows of a query, in order. souls may be a list, ALL, or a DataFrame with soul and, for their order, ord."""
     root = query if isinstance(query, Root) else normalise(query)
     nodes = graph.nodes[collection]
     q = root.query
     if root.single:
         out, names = _level(graph, collection, q, 0, root.max_depth, nodes.where(F.col(SOUL) == root.souls))
         return _rows(out.select(*(F.col(f"`{n}`") for n in names)), root)
+    if isinstance(root.souls, Every):
+        out, names = _level(graph, collection, q, 0, root.max_depth, nodes)
+        if q.sort is not None or q.limit is not None or q.offset:
+            out = out.orderBy(*_order(q, names, SOUL), F.col(SOUL))
+        return _rows(_paged(out, q).select(*(F.col(f"`{n}`") for n in names)), root)
     if isinstance(root.souls, DataFrame):
         asked = root.souls if "ord" in root.souls.columns else root.souls.withColumn("ord", F.lit(0))
         asked = asked.groupBy(SOUL).agg(F.min("ord").alias("__ord"))
@@ -182,11 +226,12 @@ def select(graph: Graph, collection: str, query: dict | Root) -> DataFrame:
     order = [*_order(q, names, "__ord"), F.col(SOUL)]
     if q.sort is not None or q.limit is not None or q.offset or not isinstance(root.souls, DataFrame) or "ord" in root.souls.columns:
         out = out.orderBy(*order)
-    if q.offset:
-        out = out.offset(q.offset)
-    if q.limit is not None:
-        out = out.limit(q.limit)
-    return _rows(out.select(*(F.col(f"`{n}`") for n in names)), root)
+    return _rows(_paged(out, q).select(*(F.col(f"`{n}`") for n in names)), root)
+
+
+def _paged(out: DataFrame, q: Query) -> DataFrame:
+    out = out.offset(q.offset) if q.offset else out
+    return out if q.limit is None else out.limit(q.limit)
 
 
 def _rows(out: DataFrame, root: Root) -> DataFrame:
@@ -199,4 +244,4 @@ def resolve(graph: Graph, collection: str, soul: str, name: str) -> DataFrame:
     target = graph.refs.get((collection, name))
     if target is None:
         return own.select(F.col(f"`{name}`").alias("value"))
-    return graph.nodes[target].join(own.select(F.col(f"`{name}`").alias(SOUL)), SOUL, "left_semi")
+    return graph.named(target).join(own.select(F.col(f"`{name}`").alias(SOUL)), SOUL, "left_semi")

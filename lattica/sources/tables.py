@@ -81,7 +81,6 @@ def with_list(parents: DataFrame, children: DataFrame, via: str, name: str) -> D
 
 def shop(spark: SparkSession, sf_dir: str) -> Graph:
     """Customers with their orders, orders with their items, and nations with their regions."""
-    o, i = orders(spark, sf_dir), items(spark, sf_dir)
-    nodes = {"customer": with_list(customers(spark, sf_dir), o, "customer", "orders"), "order": with_list(o, i, "order", "items"), "item": i, "nation": nations(spark, sf_dir), "region": regions(spark, sf_dir)}
-    refs = {("customer", "orders"): "order", ("customer", "nation"): "nation", ("order", "customer"): "customer", ("order", "items"): "item", ("item", "order"): "order", ("nation", "region"): "region"}
-    return Graph(nodes, refs)
+    nodes = {"customer": customers(spark, sf_dir), "order": orders(spark, sf_dir), "item": items(spark, sf_dir), "nation": nations(spark, sf_dir), "region": regions(spark, sf_dir)}
+    refs = {("customer", "nation"): "nation", ("order", "customer"): "customer", ("item", "order"): "order", ("nation", "region"): "region"}
+    return Graph(nodes, refs, {("customer", "orders"): ("order", "customer"), ("order", "items"): ("item", "order")})
