@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .values import canonical_json
+from .values import canonical_json, canonical_json_text
 
 ITERATIONS, MOST_ITERATIONS = 100_000, 1_000_000
 
@@ -66,26 +67,33 @@ def solve_work(soul: Column, message: Column, digest: Column, difficulty: int, m
     return solve(soul, message, digest)
 
 
-def _derived(passphrase: Column, salt: Column, iterations: int) -> Column:
-    if not 1 <= iterations <= MOST_ITERATIONS:
-        raise ValueError("iterations out of bounds")
+def _derived(passphrase: Column, salt: Column, iterations: Column) -> Column:
+    """The key; null for an empty passphrase and for iterations out of bounds."""
+
+    def one(w, s, n):
+        if not w or s is None or n is None or not 1 <= n <= MOST_ITERATIONS:
+            return None
+        return hashlib.pbkdf2_hmac("sha256", unicodedata.normalize("NFC", w).encode(), bytes(s), int(n))
 
     @F.pandas_udf("binary")
-    def derive(words: pd.Series, salts: pd.Series) -> pd.Series:
-        return pd.Series([None if w is None or s is None else hashlib.pbkdf2_hmac("sha256", unicodedata.normalize("NFC", w).encode(), bytes(s), iterations) for w, s in zip(words, salts, strict=True)])
+    def derive(words: pd.Series, salts: pd.Series, ns: pd.Series) -> pd.Series:
+        return pd.Series([one(w, s, n) for w, s, n in zip(words, salts, ns, strict=True)], dtype=object)
 
-    return derive(passphrase, salt)
+    return derive(passphrase, salt, iterations.cast("double"))
 
 
 def wrap(secret: Column, passphrase: Column, salt: Column, iv: Column, iterations: int = ITERATIONS) -> Column:
-    """AES-256-GCM under a PBKDF2 key: struct of base64url salt, iv, ciphertext and the iterations."""
-    sealed = F.aes_encrypt(secret, _derived(passphrase, salt, iterations), F.lit("GCM"), F.lit("DEFAULT"), iv)
-    return F.struct(base64url(salt).alias("salt"), base64url(iv).alias("iv"), base64url(F.substring(sealed, 13, 1 << 30)).alias("ciphertext"), F.lit(iterations).alias("iterations"))
+    """AES-256-GCM under a PBKDF2 key: struct of base64url salt, iv and ct, and the iterations."""
+    if not 1 <= iterations <= MOST_ITERATIONS:
+        raise ValueError("iterations out of bounds")
+    sealed = F.aes_encrypt(secret, _derived(passphrase, salt, F.lit(iterations)), F.lit("GCM"), F.lit("DEFAULT"), iv)
+    return F.struct(base64url(salt).alias("salt"), base64url(iv).alias("iv"), base64url(F.substring(sealed, 13, 1 << 30)).alias("ct"), F.lit(iterations).alias("iterations"))
 
 
-def unwrap(wrapped: Column, passphrase: Column, iterations: int = ITERATIONS) -> Column:
-    """The secret, or null where passphrase or data are wrong."""
-    data = F.concat(from_base64url(wrapped["iv"]), from_base64url(wrapped["ciphertext"]))
+def unwrap(wrapped: Column, passphrase: Column) -> Column:
+    """The secret, or null where passphrase or data are wrong or the iterations stored are out of bounds; without any they are ITERATIONS."""
+    data = F.concat(from_base64url(wrapped["iv"]), from_base64url(wrapped["ct"]))
+    iterations = F.coalesce(wrapped["iterations"], F.lit(ITERATIONS))
     return F.try_aes_decrypt(data, _derived(passphrase, from_base64url(wrapped["salt"]), iterations), F.lit("GCM"))
 
 
@@ -151,6 +159,63 @@ def verified(public: bytes, message: bytes, signature: bytes) -> bool:
     return (left[0] * right[2] - right[0] * left[2]) % P == 0 and (left[1] * right[2] - right[1] * left[2]) % P == 0
 
 
+def _packed(point) -> bytes:
+    x, y, z, _ = point
+    inverse = pow(z, P - 2, P)
+    x, y = x * inverse % P, y * inverse % P
+    return (y | (x & 1) << 255).to_bytes(32, "little")
+
+
+def _scalar(raw: bytes) -> int:
+    """A secret scalar: the lowest three bits clear, the highest two 0 and 1."""
+    return int.from_bytes(raw, "little") & ((1 << 254) - 8) | 1 << 254
+
+
+def public_key(seed: bytes) -> bytes:
+    return _packed(_times(_scalar(hashlib.sha512(seed).digest()[:32]), BASE_POINT))
+
+
+def signed(seed: bytes, message: bytes) -> bytes:
+    """The Ed25519 signature of a message under a seed of 32 bytes."""
+    whole = hashlib.sha512(seed).digest()
+    a, public = _scalar(whole[:32]), public_key(seed)
+    r = int.from_bytes(hashlib.sha512(whole[32:] + message).digest(), "little") % ORDER
+    point = _packed(_times(r, BASE_POINT))
+    k = int.from_bytes(hashlib.sha512(point + public + message).digest(), "little") % ORDER
+    return point + ((r + k * a) % ORDER).to_bytes(32, "little")
+
+
+def sign(seed: Column, message: Column) -> Column:
+    """Hex signatures of messages under seeds (binary, 32 bytes); null for others."""
+
+    @F.pandas_udf("string")
+    def run(seeds: pd.Series, messages: pd.Series) -> pd.Series:
+        return pd.Series([signed(bytes(s), m.encode()).hex() if s is not None and m is not None and len(s) == 32 else None for s, m in zip(seeds, messages, strict=True)], dtype=object)
+
+    return run(seed, message)
+
+
+#: What a signature doesn't cover.
+UNSIGNED = ("id", "sender", "signature", "_hops")
+
+
+def signed_text(raw: Column) -> Column:
+    """What the signature of a message (JSON text) covers: the canonical JSON of all but UNSIGNED; null for what is no object."""
+
+    def one(t):
+        try:
+            body = json.loads(t)
+        except (TypeError, ValueError):
+            return None
+        return canonical_json_text({k: v for k, v in body.items() if k not in UNSIGNED}) if isinstance(body, dict) else None
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(one)
+
+    return run(raw)
+
+
 def verify(public_hex: Column, message: Column, signature_hex: Column) -> Column:
     """Whether each signature holds; never null, never an error."""
 
