@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators.merge import LAMPORT_JUMP, TS_JUMP, newer, step
 from ..operators.reputation import DROP
+from ..sources.log import lines_of
 
 FEED = "soul string, field string, value struct<kind:string,num:double,str:string,bool:boolean,json:string>, ts double, lamport double, seq long"
 KEPT = "kind string, num double, str string, bool boolean, json string, ts double, lamport double"
@@ -57,6 +58,18 @@ def latest(feed: DataFrame) -> DataFrame:
     return feed.groupBy("soul", "field").agg(last).select("soul", "field", "w.value", "w.ts", "w.lamport")
 
 
+def logged(feed: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
+    """Starts the append of accepted fields to a log of JSON lines, one a soul and micro-batch, that sources.log reads.
+
+    A batch that is tried again overwrites its own folder, so no line is written twice.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        lines_of(latest(batch)).write.mode("overwrite").text(f"{path}/batch={number:012d}")
+
+    return feed.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
 def persisted(feed: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
     """Starts the append of accepted fields to a log of Parquet files, exactly once."""
     return feed.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
@@ -69,7 +82,7 @@ def subscribed(state: DataFrame, feed: DataFrame, handler: Callable[[DataFrame,
 
     def each(batch: DataFrame, _: int) -> None:
         rows = mine(batch)
-        fields = [r["field"] for r in rows.select("field").distinct().orderBy("field").limit(1000).collect()]
+        fields = sorted(r["field"] for r in rows.select("field").distinct().collect())  # names, of which nodes have few
         if fields:
             handler(rows, fields)
 
@@ -103,30 +116,31 @@ def clock_gate(messages: DataFrame) -> DataFrame:
 def retried(messages: DataFrame, retry_ms: int = RETRY_MS, retries: int = RETRIES, most: int = QUEUE) -> DataFrame:
     """sender, id, outcome: accept, drop or expired, for messages (sender, id, seq, score).
 
-    Messages of a sender in the queue band wait; every retry_ms they are tried again under the
-    sender's latest score, at most `retries` times. A full queue drops its oldest.
+    Messages of a sender in the queue band wait. While any do, they are tried every retry_ms,
+    whatever else arrives, under the sender's latest score: `retries` times they may be put
+    back, the time after that they expire. A sender's full queue drops its oldest.
     """
 
     def band(score: float) -> str:
         return "accept" if score >= 0 else "drop" if score < DROP else "queue"
 
     def run(key, frames, state):
-        ids, tries, score = ([], [], 0.0) if not state.exists else (list(state.get[0]), list(state.get[1]), state.get[2])
-        out = []
-        if state.hasTimedOut:
-            tries = [t + 1 for t in tries]
+        ids, tries, score, due = ([], [], 0.0, 0) if not state.exists else (list(state.get[0]), list(state.get[1]), state.get[2], state.get[3])
+        out, now_ms = [], state.getCurrentProcessingTimeMs()
+        if ids and now_ms >= due:
             now = band(score)
-            if now != "queue":
-                out, ids, tries = [(key[0], i, now) for i in ids], [], []
-            else:
+            if now == "queue":
                 out = [(key[0], i, "expired") for i, t in zip(ids, tries, strict=True) if t >= retries]
-                left = [(i, t) for i, t in zip(ids, tries, strict=True) if t < retries]
-                ids, tries = [i for i, _ in left], [t for _, t in left]
-        else:
+                left = [(i, t + 1) for i, t in zip(ids, tries, strict=True) if t < retries]
+            else:
+                out, left = [(key[0], i, now) for i in ids], []
+            ids, tries, due = [i for i, _ in left], [t for _, t in left], now_ms + retry_ms
+        if not state.hasTimedOut:
             rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
             for ident, score in zip(rows["id"], rows["score"], strict=True):
                 now = band(score)
                 if now == "queue":
+                    due = due if ids else now_ms + retry_ms
                     ids.append(ident)
                     tries.append(0)
                 else:
@@ -134,10 +148,10 @@ def retried(messages: DataFrame, retry_ms: int = RETRY_MS, retries: int = RETRIE
             while len(ids) > most:
                 out.append((key[0], ids.pop(0), "drop"))
                 tries.pop(0)
-        state.update((ids, tries, float(score)))
+        state.update((ids, tries, float(score), int(due)))
         if ids:
-            state.setTimeoutDuration(retry_ms)
+            state.setTimeoutDuration(max(1, due - now_ms))
         yield pd.DataFrame(out, columns=["sender", "id", "outcome"])
 
-    return messages.groupBy("sender").applyInPandasWithState(run, "sender string, id string, outcome string", "ids array<string>, tries array<int>, score double", "append", "ProcessingTimeTimeout")
+    return messages.groupBy("sender").applyInPandasWithState(run, "sender string, id string, outcome string", "ids array<string>, tries array<int>, score double, due long", "append", "ProcessingTimeTimeout")
 
