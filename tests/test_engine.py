@@ -2,12 +2,14 @@
 
 import hashlib
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from lattica import registry
 from lattica.functions import crypto
+from lattica.functions.values import canonical_json_text
 from lattica.operators import admission, merge, mutate, reputation, routing
 from lattica.operators.merge import WRITE
 from lattica.sources import log
@@ -59,9 +61,11 @@ def test_reputation_survives_a_restart(spark, tmp_path):
 
 
 def test_routing_help(spark):
-    rows = spark.createDataFrame([("a", 0, "m", "d"), ("b", 1, "m", "d"), ("c", 2, "m", "d"), ("e", 3, "n", "x"), ("f", 4, "n", "y")], "conn string, seq long, id string, digest string")
-    sent = spark.createDataFrame([("m", "b")], "id string, conn string")
-    assert [tuple(r) for r in admission.routing_help(rows, sent).collect()] == [("c", "m", 10.0)]
+    rows = spark.createDataFrame([("b", 1, "m", "d"), ("c", 2, "m", "other"), ("c", 3, "m", "d"), ("e", 4, "m", "d"), ("e", 5, "n", "x"), ("f", 6, "n", "x"), ("g", 7, "k", "d")], "conn string, seq long, id string, digest string")
+    sent = spark.createDataFrame([("m", "d"), ("k", "d")], "id string, digest string")
+    targets = spark.createDataFrame([("m", "b")], "id string, conn string")
+    # the first way back counts, even the first arrival here; what others sent earns nothing
+    assert sorted(tuple(r) for r in admission.routing_help(rows, sent, targets).collect()) == [("c", "m", 10.0), ("g", "k", 10.0)]
 
 
 def test_isolation_and_ledger(spark):
@@ -105,7 +109,7 @@ def test_batch_id_and_mutations(spark):
 def test_wrap(spark):
     row = spark.createDataFrame([(b"secret", "pass", bytes(16), bytes(12))], "secret binary, pass string, salt binary, iv binary")
     sealed = row.withColumn("w", crypto.wrap(F.col("secret"), F.col("pass"), F.col("salt"), F.col("iv"), 1000))
-    out = sealed.select(crypto.unwrap(F.col("w"), F.col("pass"), 1000).alias("right"), crypto.unwrap(F.col("w"), F.lit("wrong"), 1000).alias("wrong")).first()
+    out = sealed.select(crypto.unwrap(F.col("w"), F.col("pass")).alias("right"), crypto.unwrap(F.col("w"), F.lit("wrong")).alias("wrong")).first()
     assert bytes(out["right"]) == b"secret" and out["wrong"] is None
 
 
@@ -118,19 +122,120 @@ def test_signature():
     assert not crypto.verified(b"", b"", b"")
 
 
+def test_signing(spark):
+    # RFC 8032, test 2
+    seed = bytes.fromhex("4ccd089b28ff96da9db6c346ec114e0f5b8a319f35aba624da8cf6ed4fb8a6fb")
+    public = "3d4017c3e843895a92b70aa74d1b7ebc9c982ccf2ec4968cc0cd55f12af4660c"
+    assert crypto.public_key(seed).hex() == public and crypto.signed(seed, b"\x72").hex().startswith("92a009a9f0d4cab8720e820b5f642540")
+    raw = '{"id":"x","soul":"s","fields":{"b":1,"a":2.0},"sender":"y","_hops":2}'
+    row = spark.createDataFrame([(seed, raw)], "seed binary, raw string").withColumn("text", crypto.signed_text(F.col("raw")))
+    r = row.withColumn("signature", crypto.sign(F.col("seed"), F.col("text"))).withColumn("ok", crypto.verify(F.lit(public), F.col("text"), F.col("signature"))).first()
+    assert r["text"] == '{"fields":{"a":2,"b":1},"soul":"s"}' and r["ok"]
+
+
+def test_admission_chain(spark):
+    seed = bytes(range(32))
+    sender, key = crypto.public_key(seed).hex(), hashlib.sha256(b"k").hexdigest()
+
+    def signed(**body):
+        text = canonical_json_text({k: v for k, v in body.items() if k not in crypto.UNSIGNED})
+        return json.dumps({**body, "sender": sender, "signature": crypto.signed(seed, text.encode()).hex()})
+
+    plain = lambda **x: json.dumps(x)
+    rows = [
+        ("good", signed(id="a", type="put", soul=key, fields={"x": 1}, ts=5, lamportClock=1)), ("good", plain(id="b", type="put", soul="s", fields={}, ts=1)), ("good", plain(id="b", type="put", soul="s")),
+        ("good", signed(id="c", type="put", soul=key, fields={"x": 1}, ts=5).replace('"x": 1', '"x": 2')), ("good", plain(id="d", type="get")), ("bad", plain(id="e", type="put", soul="s")), ("meek", plain(id="f", type="put", soul="s")),
+        ("good", plain(id="g", type="put", soul="s", pow={"nonce": 1, "difficulty": 9})), ("good", plain(id="h", reputationLedger=[1] * 20_001)), ("good", plain(id="i", lamportClock=1)), ("meek", signed(id="j", type="put", soul=key, fields={}, ts=2)),
+    ]
+    messages = spark.createDataFrame([(c, i, r) for i, (c, r) in enumerate(rows)], "conn string, seq long, raw string")
+    scores = spark.createDataFrame([("bad", -11.0), ("meek", -2.0)], "peer_id string, score double")
+    got = {r["id"]: (r["outcome"], r["peer"], r["delta"]) for r in admission.admitted(messages, scores).where("seq <> 2").collect()}
+    assert got == {
+        "a": ("accept", sender, 1.0), "b": ("accept", "good", 1.0), "c": ("signature", "good", -3.0), "d": ("accept", None, None), "e": ("throttled", None, None), "f": ("queue", None, None),
+        "g": ("work", "good", -3.0), "h": ("ledger_length", "good", -1.0), "i": ("clock_order", "good", -5.0), "j": ("accept", sender, 1.0),
+    }
+    digest = hashlib.sha256(b'{"fields":{"x":1},"ts":7}').hexdigest()
+    nonce = next(n for n in range(10**6) if hashlib.sha256(f"s:w:{digest}:{n}".encode()).hexdigest().startswith("00"))
+    work = [plain(id=i, type="put", soul="s", fields={"x": x}, ts=7, **({"pow": {"nonce": nonce, "difficulty": d}} if d else {})) for i, x, d in (("w", 1, 2), ("v", 1, 2), ("u", 1, 0))]
+    work.append(work[0].replace('"w"', '"t"').replace('"difficulty": 2', '"difficulty": 1'))
+    out = admission.admitted(spark.createDataFrame([("c", i, r) for i, r in enumerate(work)], "conn string, seq long, raw string"), scores.limit(0), difficulty=2).collect()
+    assert {r["id"]: r["outcome"] for r in out} == {"w": "accept", "v": "work", "u": "work", "t": "work"}
+
+
+def test_local_clock(spark):
+    calls = [("n", 0, True, None, None), ("n", 1, False, 900.0, None), ("n", 2, True, 5.0, None), ("n", 3, True, 5000.0, None), ("n", 4, True, None, 9000.0), ("n", 5, True, None, 3.0), ("m", 0, False, None, None)]
+    rows = spark.createDataFrame(calls, "node string, seq long, accepted boolean, lamport double, by_field double")
+    # 1; unmoved; 5 + 1; clamped to 1006, + 1; clamped to 2007; unmoved
+    assert {r["node"]: r["clock"] for r in merge.local_clock(rows).collect()} == {"n": 2007.0, "m": 0.0}
+
+
+def test_rates(spark):
+    puts = spark.createDataFrame([("p", t) for t in (0, 10, 60_000, 60_005, 200_000)], "peer string, ts long")
+    ticks = spark.createDataFrame([("p", 1, 60_000), ("p", 2, 60_011), ("p", 3, 500_000), ("q", 1, 5)], "peer string, seq long, ts long")
+    assert {(r["peer"], r["seq"]): r["n"] for r in routing.rates(puts, ticks).collect()} == {("p", 1): 3, ("p", 2): 2, ("p", 3): 0, ("q", 1): 0}
+
+
+def test_percentiles_of_large_and_tied_groups(spark):
+    import random
+
+    own = random.Random(2)
+    rows = [("a", own.random()) for _ in range(3000)] + [("b", float(own.choice((1, 1, 1, 2)))) for _ in range(500)] + [("c", 5.0), ("d", None), ("e", 2.0), ("e", 1.0)]
+    got = {r["g"]: (r["p50"], r["p90"], r["p99"]) for r in routing.percentile(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", [50, 90, 99]).collect()}
+    values = {g: sorted(v for k, v in rows if k == g and v is not None) for g in "abce"}
+    assert got == {g: tuple(v[max(1, -(-p * len(v) // 100)) - 1] for p in (50, 90, 99)) for g, v in values.items()}
+
+
+def test_log_order_over_files_and_splits(spark, tmp_path):
+    """A small older file beside a large newer one, which is read in many splits: the first write is the first."""
+    path = tmp_path / "log"
+    path.mkdir()
+    line = lambda f, v: json.dumps({"soul": "s", "fields": {f: v}, "ts": 1, "lamportClock": 1})
+    (path / "b.ndjson").write_text("\n".join([line("x", "first"), line("y", "only")]))
+    (path / "a.ndjson").write_text("\n".join([line("x", "second"), *(line("z", k) for k in range(4000)), line("x", "third")]))
+    os.utime(path / "b.ndjson", (1000, 1000))
+    os.utime(path / "a.ndjson", (2000, 2000))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "30000")
+    try:
+        state = {r["field"]: r["value"] for r in log.load(spark, str(path), "fww").collect()}
+        rows = log.writes(log.read_lines(spark, str(path))).where("field = 'z'").orderBy("seq").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert state["x"]["str"] == "first" and state["y"]["str"] == "only" and state["z"]["num"] == 0
+    assert [r["value"]["num"] for r in rows] == list(range(4000))
+
+
 def test_routes(spark):
-    peers = spark.createDataFrame([(f"p{i}", float(i), 0.0, k) for i, k in enumerate(["abcd", "abcd", None, "ffff", "ffff"])], "peer string, latency double, loss double, routing_key string")
-    key = "abcd" + "0" * 60
-    souls = spark.createDataFrame([(key,), ("plain",)], "soul string")
+    peers = spark.createDataFrame([(f"p{i}", float(i), 0.0, k) for i, k in enumerate(["abcd", "abcd", None, "ffff", "ffff", "abc", "abcd"])], "peer string, latency double, loss double, routing_key string")
+    key, thin = "abcd" + "0" * 60, "1234" + "0" * 60
+    souls = spark.createDataFrame([(key,), (thin,), ("plain",)], "soul string")
+    out = {}
+    for r in routing.routes(souls, peers, k=3, extra=1).collect():
+        out.setdefault(r["soul"], set()).add(r["peer"])
+    # a thin bucket, with p2 alone, goes to the healthiest of all
+    assert out == {key: {"p0", "p1", "p2", "p3"}, thin: {"p0", "p1", "p2", "p3"}, "plain": {f"p{i}" for i in range(7)}}
     out = {}
-    for r in routing.routes(souls, peers, k=2, extra=1).collect():
+    for r in routing.routes(souls, peers, k=1, extra=1).collect():
         out.setdefault(r["soul"], set()).add(r["peer"])
-    assert out == {key: {"p0", "p1", "p2"}, "plain": {f"p{i}" for i in range(5)}}
-    assert routing.topology("ap", dht=True)["dht"] and not routing.topology("ca")["dht"]
+    assert out[key] == {"p0", "p1"} and out[thin] == {"p2", "p1"}
+    assert routing.topology("AP", dht=True)["dht"] and not routing.topology("ca")["dht"] and routing.topology("cp")["dht"]
+    assert routing.topology("ca")["quorum"] == 0.5 and routing.topology("cp")["quorum"] == 0
+    with pytest.raises(ValueError, match="unknown topology"):
+        routing.topology("xx")
     r = spark.range(1).select(routing.redial_delay(F.lit(3)).alias("a"), routing.redial_delay(F.lit(30)).alias("b"), routing.common_prefix(F.lit("abcx"), F.lit("abdx")).alias("c")).first()
     assert (r["a"], r["b"], r["c"]) == (16000, 60000, 2)
 
 
+def test_next_hops(spark):
+    peers = spark.createDataFrame([("a", None), ("b", "abcd"), ("c", "abff"), ("d", "abcd"), ("e", "1234")], "peer string, routing_key string")
+    key = "abcd" + "0" * 60
+    messages = spark.createDataFrame([("m", key, 1.0, "b"), ("n", key, 6.0, "a"), ("o", "9" * 64, None, "z")], "id string, soul string, hops double, conn string")
+    out = {}
+    for r in routing.next_hops(messages, peers, k=2).collect():
+        out.setdefault((r["id"], r["hops"]), set()).add(r["peer"])
+    assert out == {("m", 2): {"d", "c"}, ("n", 6): {"b", "c", "d", "e"}, ("o", 1): {"a", "b"}}
+
+
 def test_every_customer_is_routed(spark, tmp_path):
     customers, suppliers = range(1, 301), [(k, (k * 37 % 101) / 2) for k in range(1, 41)]
     spark.createDataFrame([(k,) for k in customers], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
@@ -163,6 +268,15 @@ def test_stream(spark, tmp_path):
     assert seen[0] == [] and ["f"] in seen[1:]
 
 
+def test_log_of_a_streamed_merge(spark, tmp_path):
+    rows = [("n", "f", mutate.tagged(v), float(t), float(c), q) for q, (v, t, c) in enumerate([("A", 0, 1), ("B", 100, 1), ("C", 50, 1)])] + [("o", "g", mutate.tagged(None), 1.0, 1.0, 5)]
+    spark.createDataFrame(rows, WRITE).write.parquet(str(tmp_path / "in"))
+    feed = merges.merged_stream(spark.readStream.schema(WRITE).parquet(str(tmp_path / "in")))
+    merges.logged(feed, str(tmp_path / "log"), str(tmp_path / "cp")).awaitTermination()
+    state = {(r["soul"], r["field"]): (r["value"]["kind"], r["value"]["str"]) for r in log.load(spark, str(tmp_path / "log")).collect()}
+    assert state == {("n", "f"): ("string", "B"), ("o", "g"): ("null", None)}
+
+
 def test_clock_gate_and_retry_streams(spark, tmp_path):
     spark.createDataFrame([("c", str(i), float(k), i) for i, k in enumerate([1, 3, 2, 3, 4])], "conn string, id string, clock double, seq long").write.parquet(str(tmp_path / "m"))
     gate = merges.clock_gate(spark.readStream.schema("conn string, id string, clock double, seq long").parquet(str(tmp_path / "m")))
