@@ -304,23 +304,31 @@ def leaves(nodes: list):
 
 
 def keeps(pattern: list, wrapper: list, kept: set[int]) -> list[bool]:
-    """For each slot of a pattern whether the wrapper keeps it; a slot the wrapper lacks goes by its neighbours."""
+    """For each slot of a pattern whether the wrapper keeps it; a slot the wrapper lacks goes by the nearest one of the smallest box around both."""
     out: list[bool | None] = []
+    boxes: list[tuple[int, ...]] = []
 
-    def walk(items, nodes):
+    def walk(items, nodes, box):
         names = [[i[0], i[1]] for i in items]
         for what, i, j, k, m in _aligned(names, nodes):
-            for x, y in zip(items[i:j], nodes[k:m] if what == "equal" else [None] * (j - i), strict=True):
+            for place, x, y in zip(range(i, j), items[i:j], nodes[k:m] if what == "equal" else [None] * (j - i), strict=True):
                 if x[1] is not None:
-                    walk(x[1], y[1] if y is not None else [])
+                    walk(x[1], y[1] if y is not None else [], (*box, place))
                 else:
                     out.append(None if y is None else id(y) in kept)
+                    boxes.append(box)
 
-    walk(pattern, wrapper)
-    for i, x in enumerate(out):
-        if x is None:
-            out[i] = out[i - 1] if i else False
-    return [bool(x) for x in out]
+    walk(pattern, wrapper, ())
+    known = [i for i, x in enumerate(out) if x is not None]
+
+    def near(i):
+        for depth in range(len(boxes[i]), -1, -1):
+            own = [j for j in known if boxes[j][:depth] == boxes[i][:depth]]
+            if own:
+                return out[min(own, key=lambda j: (abs(i - j), j))]
+        return False
+
+    return [near(i) if x is None else x for i, x in enumerate(out)]
 
 
 def _read(host: str, page: str | None):

@@ -467,6 +467,22 @@ def test_parse_of_legal_and_broken_pages():
     assert len(texts_of("<select>" * 20_000 + "x")) == 1
 
 
+def test_wrappers_where_only_the_alignment_tells(spark):
+    """Boxes without names, template blocks in the middle of the article: what never changes over different pages goes, optional and repeated parts stay."""
+    own = random.Random(6)
+    prose_ = lambda k: " ".join(own.choice(WORDS) for _ in range(k))
+    rows, want = [], {}
+    for n in range(24):
+        parts = [("h2", f"Title {n}"), *[("p", prose_(30)) for _ in range(1 + n % 3)]]
+        parts += [("pre", prose_(12))] if n % 2 else []
+        after = [("p", prose_(25)) for _ in range(1 + n % 2)]
+        block = lambda items: "".join(f"<{t}>{x}</{t}>" for t, x in items)
+        rows.append((n, "http://q.net/", f"<div><div><h3>Our paper, daily</h3></div><div>{block(parts)}<h5>Please support this paper today</h5>{block(after)}</div><div><h6>Printed on recycled words</h6></div></div>"))
+        want[n] = "\n".join(x for _, x in parts + after)
+    got = {r["page_id"]: r["text"] for r in wrappers.extracted(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    assert got == want
+
+
 def test_wrappers_on_odd_tables(spark):
     """Deep pages, copies of one page, an empty table, repeated rows; a host of many patterns."""
     deep = "<div>" * 3000 + "<p>The deep text stays as it is</p>" + "</div>" * 3000
