@@ -21,7 +21,21 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
+#: Most rows and bytes of an Arrow batch. Documents are large, and a batch is held on both sides of the socket.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def frugal(spark: SparkSession) -> None:
+    """Smaller Arrow batches for this session, where it has set none of its own."""
+    for key, usual, wanted in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", None, BATCH_BYTES)):
+        now = spark.conf.get(key, None)
+        if now == usual or usual is None and int(str(now or 0).rstrip("b") or 0) in (0, 64 << 20, (1 << 31) - 1):
+            spark.conf.set(key, str(wanted))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a folder, to be worked on in small batches."""
+    frugal(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -40,15 +54,28 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, name: str, made: list[str] | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    made: gets the table's path, for discard.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
+    df.write.parquet(path)
+    release()
+    if made is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, made: list[str]) -> None:
+    """Deletes tables that nothing reads any more: all that was made of them is written itself."""
+    for path in made:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    made.clear()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
@@ -168,6 +195,10 @@ class KeyFilter:
             np.bitwise_or.at(bitmap, ats >> 3, (1 << (ats & 7)).astype(np.uint8))
         return cls(df.sparkSession, bitmap, bits)
 
+    def done(self) -> None:
+        """Frees it on all machines, once all that asks it is written."""
+        self.sent.destroy()
+
     def may_have(self, keys: np.ndarray) -> np.ndarray:
         at = self.place(keys, self.bits)
         return (self.sent.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)

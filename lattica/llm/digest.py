@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_KEY, KeyFilter, Ranges, key_ranges, keyed, lean, materialize, sliced
+from .common import NO_KEY, KeyFilter, Ranges, key_ranges, keyed, lean, materialize, sliced, table
 
 ROWS_A_RANGE = 1024
 
@@ -202,7 +202,7 @@ def compare_edited(docs: DataFrame, rows_a_range: int = ROWS_A_RANGE) -> DataFra
 
 
 def op6_digest(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     rows = materialize(compare_edited(docs), "edited")
     rows = confirmed(docs, rows, {"edited_digest": "edited_form"})
     return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, materialize, sliced
+from .common import lean, materialize, sliced, table
 
 VOCABULARY = 65_535
 HOT = 256
@@ -402,4 +402,4 @@ def stupid_backoff(docs: DataFrame, most_words: int | None = None) -> DataFrame:
 
 
 def op7_ngram_scores(spark, sf_dir: str) -> DataFrame:
-    return stupid_backoff(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return stupid_backoff(table(spark, sf_dir, "documents"))

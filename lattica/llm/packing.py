@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lean, materialize, sliced
+from .common import lean, materialize, sliced, table
 from .wordpieces import WordPieces
 
 CAPACITY = 2048
@@ -193,4 +193,4 @@ def sequences(packed: DataFrame) -> DataFrame:
 def op3_packing(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lean, materialize, sliced
+from .common import lean, materialize, sliced, table
 
 MOST_LABELLED = 20_000
 FALSE_REJECTS = 0.003
@@ -235,5 +235,5 @@ def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:
-    scores = scored(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scores = scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return resampled(scores, 0.5).select("doc_id", "log_weight", "bad", "keep", "draw", "sampled")

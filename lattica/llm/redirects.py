@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, lean, sliced
+from .common import connected_components, cut, lean, sliced, table
 
 #: The production rules (verdict, host, path).
 RULES = (
@@ -127,7 +127,7 @@ def judged(pages: DataFrame, redirects: DataFrame | None = None, rules=RULES) ->
 
 
 def op5_redirects(spark, sf_dir: str) -> DataFrame:
-    return judged(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return judged(table(spark, sf_dir, "pages"))
 
 
 #: Holds where no page declares links, as in the driver tables: what no rule fits is then allowed.

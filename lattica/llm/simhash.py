@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KeyFilter, connected_components, cut, lean, materialize, sliced
+from .common import KeyFilter, connected_components, cut, discard, lean, materialize, sliced, table
 
 BANDS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 RADIUS = 4
@@ -357,13 +357,13 @@ def _alike(batches):
         yield pa.record_batch([batch.column(0), batch.column(1)], names=["src", "dst"]).filter(pa.array(same, pa.bool_()))
 
 
-def verified(docs: DataFrame, texts: DataFrame, links: DataFrame, words: int = 5) -> DataFrame:
+def verified(docs: DataFrame, texts: DataFrame, links: DataFrame, words: int = 5, made: list[str] | None = None) -> DataFrame:
     """The links (src, dst) between nodes of texts(node, k1, k2) whose texts have a similarity of SIMILARITY or more.
 
     Only texts with a link are read again, by a filter of bounded size on the scan, and each is sent once a task.
     """
     ends = links.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    ends = materialize(ends.join(texts, "node").select("node", "k1", "k2"), "ends")
+    ends = materialize(ends.join(texts, "node").select("node", "k1", "k2"), "ends", made)
     wanted = KeyFilter.of(ends, "k1")
 
     @lean
@@ -384,19 +384,19 @@ def verified(docs: DataFrame, texts: DataFrame, links: DataFrame, words: int = 5
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["k1", "k2", "set"])
 
     sets = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "k1 long, k2 long, set binary")
-    sets = materialize(sets.join(ends, ["k1", "k2"]).groupBy("node").agg(F.first("set").alias("set")), "shingles")
+    sets = materialize(sets.join(ends, ["k1", "k2"]).groupBy("node").agg(F.first("set").alias("set")), "shingles", made)
     pairs = links.join(sets.select(F.col("node").alias("src"), F.col("set").alias("a")), "src").join(sets.select(F.col("node").alias("dst"), F.col("set").alias("b")), "dst")
     return pairs.select("src", "dst", "a", "b").mapInArrow(_alike, "src long, dst long")
 
 
-def near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
+def near_copies(docs: DataFrame, words: int = 5, made: list[str] | None = None) -> DataFrame:
     """doc_id, r1, r2, component of every row: groups of documents over links of a similarity of 0.8 or more in shingles of words words."""
-    rows = materialize(wide_fingerprints(docs, words), "widehash")
+    rows = materialize(wide_fingerprints(docs, words), "widehash", made)
     texts = cut(rows.groupBy("k1", "k2").agg(F.first("bits").alias("bits")).withColumn("node", F.monotonically_increasing_id()))
     banded = texts.select("node", "bits").mapInArrow(_banded(texts.count()), "fp long, bits binary, buckets array<long>")
     links = _bucket_links(banded.select("fp", "bits", F.explode("buckets").alias("bucket")), WIDE_FIRST, WIDE_RADIUS)
-    links = materialize(links.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "candidates")
-    parts = connected_components(verified(docs, texts.select("node", "k1", "k2"), links, words))
+    links = materialize(links.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "candidates", made)
+    parts = connected_components(verified(docs, texts.select("node", "k1", "k2"), links, words, made))
     named = texts.select("node", "k1", "k2").join(parts, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component"))
     return rows.select("doc_id", "r1", "r2", "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", "r1", "r2", "component")
 
@@ -406,12 +406,14 @@ def one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
 
     Rows that repeat a kept one, id and text alike, go too; they are the only ones that are shuffled whole.
     """
-    found = materialize(near_copies(docs, words), "copies")
+    made: list[str] = []
+    found = materialize(near_copies(docs, words, made), "copies")
+    discard(docs.sparkSession, made)
     best = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "r1", "r2")).alias("best"))
     each = found.groupBy("doc_id", "r1", "r2", "component").agg(F.count("*").alias("n")).join(best, "component")
     here = F.struct(F.col("doc_id").isNull(), "doc_id", "r1", "r2")
     marked = each.select("doc_id", "r1", "r2", F.when(here == F.col("best"), F.when(F.col("n") > 1, 1)).otherwise(0).alias("mark")).where("mark is not null")
-    marked = materialize(marked, "marked")
+    marked = materialize(marked, "marked")  # a row for each text that goes and each that repeats
     names = [f"c{i}" for i in range(len(docs.columns))]  # the caller's names may clash with ours
     own = docs.select(F.struct(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True))).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = own.select("row", "doc_id", *_raw_keys())
@@ -430,6 +432,6 @@ def simhash_components(docs: DataFrame, words: int = 4, radius: int = RADIUS) ->
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     out = simhash_components(docs)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_KEY, WORD, KeyFilter, keyed, lean, materialize, sliced
+from .common import NO_KEY, WORD, KeyFilter, discard, keyed, lean, materialize, sliced, table
 
 WINDOW = 35
 SEED = 8
@@ -148,31 +148,31 @@ def _packed(batches):
 RUNS = "array<struct<at:int,n:int,rdoc:long,rh:long,rat:int>>"
 
 
-def indexed(rows: DataFrame, window: int = WINDOW, bits: int = 64) -> DataFrame:
+def indexed(rows: DataFrame, window: int = WINDOW, bits: int = 64, made: list[str] | None = None) -> DataFrame:
     """doc, h, runs: for each row of rows(doc, h, text) that has some, runs of n windows from at that the index holds elsewhere, from rat of (rdoc, rh).
 
     The reference of a variant is the least place it occurs at, for that place itself the
     greatest; that of a window which only other variants hold is such a variant's least place.
     """
     twice = rows.select("text").mapInArrow(_anchors(window, bits), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
-    wanted = KeyFilter.of(materialize(twice, "twice"), "anchor")
-    found = materialize(rows.select("doc", "h", "text").mapInArrow(_variants(window, wanted, bits), FOUND), "variants")
+    wanted = KeyFilter.of(materialize(twice, "twice", made), "anchor")
+    found = materialize(rows.select("doc", "h", "text").mapInArrow(_variants(window, wanted, bits), FOUND), "variants", made)
     place = F.struct("doc", "h", "at")
     variants = found.groupBy("vid").agg(F.count("*").alias("times"), F.first("keys", ignorenulls=True).alias("keys"), F.min(place).alias("low"), F.max(place).alias("high"))
-    variants = materialize(variants.withColumn("uid", F.monotonically_increasing_id()), "distinct")
+    variants = materialize(variants.withColumn("uid", F.monotonically_increasing_id()), "distinct", made)
     # a variant has at most window windows, so its number and a place in it make one long
     step = 1 << max(6, (window + 1).bit_length())
     each = variants.select("times", F.posexplode("keys").alias("k", "key"), "uid").select("times", "key", (F.col("uid") * step + F.col("k")).alias("code"))
     again = each.groupBy("key").agg(F.sum("times").alias("n"), F.min("code").alias("first"), F.max("code").alias("last")).where("n > 1").select("key", "first", "last")
     # joins on materialised tables, so that AQE can split a key which a third of the rows share
-    single = each.where("times = 1").join(materialize(again, "again"), "key")
+    single = each.where("times = 1").join(materialize(again, "again", made), "key")
     single = single.select("code", F.when(F.col("first") == F.col("code"), F.col("last")).otherwise(F.col("first")).alias("other"))
     split = lambda c: F.shiftright(c, step.bit_length() - 1)
     single = single.select(split("code").alias("mine"), F.pmod("code", F.lit(step)).cast("int").alias("k"), split("other").alias("uid"), F.pmod("other", F.lit(step)).cast("int").alias("rk"))
     there = single.join(variants.select("uid", "low"), "uid").select("mine", F.struct("k", F.col("low.doc").alias("rdoc"), F.col("low.h").alias("rh"), (F.col("low.at") + F.col("rk")).alias("rat")).alias("hit"))
     hits = there.groupBy(F.col("mine").alias("uid")).agg(F.collect_list("hit").alias("hits"))
     marks = variants.join(hits, "uid", "left").where("times > 1 or hits is not null").select("vid", F.size("keys").alias("n"), "low", "high", "hits")
-    own = found.select("vid", "doc", "h", "at").join(materialize(marks, "marks"), "vid")
+    own = found.select("vid", "doc", "h", "at").join(materialize(marks, "marks", made), "vid")
     ref = F.when(F.col("low") == place, F.col("high")).otherwise(F.col("low"))
     whole = F.array(F.struct(F.col("at"), F.col("n"), ref["doc"].alias("rdoc"), ref["h"].alias("rh"), ref["at"].alias("rat")))
     parts = F.transform("hits", lambda x: F.struct((F.col("at") + x["k"]).alias("at"), F.lit(1).alias("n"), x["rdoc"].alias("rdoc"), x["rh"].alias("rh"), x["rat"].alias("rat")))
@@ -195,7 +195,7 @@ def factors(runs: list[tuple[int, int, int, int, int]], window: int) -> list[tup
 FACTORS = "doc long, h long, at int, n int, rdoc long, rh long, rat int"
 
 
-def parse(rows: DataFrame, window: int = WINDOW, bits: int = 64) -> DataFrame:
+def parse(rows: DataFrame, window: int = WINDOW, bits: int = 64, made: list[str] | None = None) -> DataFrame:
     """doc, h, at, n, rdoc, rh, rat: every factor of every document, proposed by hashes."""
 
     @lean
@@ -207,7 +207,7 @@ def parse(rows: DataFrame, window: int = WINDOW, bits: int = 64) -> DataFrame:
                 out += [(doc, h, *f) for f in factors([tuple(r.values()) for r in runs], window)]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 7, types, strict=True)], names=[c.split()[0] for c in FACTORS.split(", ")])
 
-    return indexed(rows, window, bits).mapInArrow(run, FACTORS)
+    return indexed(rows, window, bits, made).mapInArrow(run, FACTORS)
 
 
 def _quoted(batches):
@@ -222,7 +222,7 @@ def _quoted(batches):
         yield pa.record_batch([*(batch.column(i) for i in range(3)), pa.array(out, pa.binary())], names=["doc", "h", "at", "words"])
 
 
-def quoted(rows: DataFrame, found: DataFrame) -> DataFrame:
+def quoted(rows: DataFrame, found: DataFrame, made: list[str] | None = None) -> DataFrame:
     """doc, h, quotes: (at, words) of the factors found, with the words that stand at their references."""
     wanted = KeyFilter.of(found, "rh")
 
@@ -243,7 +243,7 @@ def quoted(rows: DataFrame, found: DataFrame) -> DataFrame:
 
     refs = rows.select("doc", "h", "text").mapInArrow(run, "doc long, h long, z binary")
     refs = refs.join(found.select(F.col("rdoc").alias("doc"), F.col("rh").alias("h")).distinct(), ["doc", "h"], "left_semi")
-    refs = materialize(refs.groupBy("doc", "h").agg(F.first("z").alias("z")), "references").select(F.col("doc").alias("rdoc"), F.col("h").alias("rh"), "z")
+    refs = materialize(refs.groupBy("doc", "h").agg(F.first("z").alias("z")), "references", made).select(F.col("doc").alias("rdoc"), F.col("h").alias("rh"), "z")
     quotes = found.join(refs, ["rdoc", "rh"]).select("doc", "h", "at", "n", "rat", "z").mapInArrow(lean(_quoted), "doc long, h long, at int, words binary")
     return quotes.groupBy("doc", "h").agg(F.collect_list(F.struct("at", "words")).alias("quotes"))
 
@@ -271,7 +271,11 @@ def parsed(docs: DataFrame, render, schema: str, window: int = WINDOW, extra: li
     rows = _identified(docs, extra)
     kinds = "".join(f", {c} {t}" for c, t in rows.dtypes[3:])
     plain = rows.select("doc", "h", "text")
-    quotes = materialize(quoted(plain, materialize(parse(plain, window, bits), "factors")), "quotes")
+    made: list[str] = []
+    found = materialize(parse(plain, window, bits, made), "factors")
+    discard(docs.sparkSession, made)
+    quotes = materialize(quoted(plain, found, made), "quotes")
+    discard(docs.sparkSession, made)
     wanted = KeyFilter.of(quotes, "h")
     own = f"doc_id long, {schema}"
     names = [c.split()[0] for c in own.split(", ")]
@@ -343,5 +347,5 @@ def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def op9_substrings(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return parsed(docs, _digest_of, "n_words long, n_removed long, kept_sha256 string")

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_KEY, Ranges, key_ranges, lean, materialize, sliced
+from .common import NO_KEY, Ranges, key_ranges, lean, materialize, sliced, table
 from .wordpieces import WordPieces
 
 BLOCK_IDS = 4_000_000
@@ -233,6 +233,6 @@ def lookup(stored: DataFrame, keys: DataFrame, ranges: Ranges) -> DataFrame:
 def op8_tokenstore(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     stored = materialize(blocks(docs, public_tokenizers.path("word_bpe_49k.json"), 2, shards(docs)), "tokens")
     return stored_documents(stored)

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, materialize, sliced
+from .common import lean, materialize, sliced, table
 from .redirects import host_of
 
 # A quote begins a value only right after "=".
@@ -488,4 +488,4 @@ def extracted(pages: DataFrame) -> DataFrame:
 
 
 def op1_wrappers(spark, sf_dir: str) -> DataFrame:
-    return extracted(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return extracted(table(spark, sf_dir, "pages"))
