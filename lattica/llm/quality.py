@@ -38,7 +38,9 @@ PRIOR = 2.0
 LOW = -1.5
 STRIP = re.compile(r"^\W+|\W+$")
 TAIL = re.compile(r"[\W_]*$")
-CACHE = 100_000
+CACHE = 150_000
+#: ASCII characters that are no letter, digit or underscore, as STRIP and TAIL have them.
+MARKS = "".join(c for c in map(chr, range(128)) if not c.isalnum() and c != "_")
 
 
 class Features:
@@ -46,13 +48,16 @@ class Features:
 
     def __init__(self):
         self.known: dict[str, int] = {}
+        self.older: dict[str, int] = {}
 
     def _code(self, word: str) -> int:
-        bare = STRIP.sub("", word)
+        if word.isascii():
+            bare, tail = word.strip(MARKS), word[len(word.rstrip(MARKS + "_")) :]
+        else:
+            bare, tail = STRIP.sub("", word), TAIL.search(word)[0]
         low = bare.lower()
         head = low[:HEAD] if len(low) > HEAD else "^" + low
-        kind = 0 if not bare else 1 if any(c.isdigit() for c in bare) else 2 if len(bare) > 1 and bare.isupper() else 3 if bare[:1].isupper() else 4
-        tail = TAIL.search(word)[0]
+        kind = 0 if not bare else 1 if not bare.isalpha() and any(c.isdigit() for c in bare) else 2 if len(bare) > 1 and bare.isupper() else 3 if bare[:1].isupper() else 4
         end = 0 if not tail else 1 if len(tail) == 1 and tail in ".,;:?!" else 2 if len(tail) == 1 else 3
         h = crc32(low.encode("utf-8", "surrogatepass"))
         g = crc32(head.encode("utf-8", "surrogatepass"), 7)
@@ -60,15 +65,16 @@ class Features:
 
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         words = (text or "").split()
-        known = self.known
         try:
-            codes = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+            codes = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         except KeyError:
-            if len(known) > CACHE:
-                known.clear()
+            if len(self.known) > CACHE:
+                self.known, self.older = {}, self.known
+            known, older = self.known, self.older
             for w in words:
                 if w not in known:
-                    known[w] = self._code(w)
+                    code = older.get(w)
+                    known[w] = self._code(w) if code is None else code
             codes = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         word, head, shape = codes >> 32, (codes >> 8) & 0xFFFF, codes & 0xFF
         again = np.zeros(len(codes), np.int64)
@@ -208,7 +214,7 @@ def scored(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLE
 def resampled(scores: DataFrame, share: float, seed: int = 0) -> DataFrame:
     """scores with draw (log weight plus Gumbel noise) and sampled: the ceil(share x rows) greatest draws.
 
-    Equal draws go by doc_id. The cut is found exactly: percentiles enclose it, and only the
+    Equal draws go by doc_id; rows at the cut that agree in both are all sampled. The cut is found exactly: percentiles enclose it, and only the
     rows between them are ranked.
     """
     uniform = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
