@@ -79,6 +79,28 @@ def test_packing(docs, none):
     assert sum(len(r["ids"]) for r in joined) == 4 * sum(lengths)
 
 
+@pytest.mark.parametrize("capacity", [64, 2048])
+def test_pieces_equal_brute_force(spark, capacity):
+    """Each piece once, with its place, ids and checksum; only documents over the capacity are cut; sequences without gaps."""
+    whole = Tokenizer.from_file(PATH)
+    own = random.Random(capacity)
+    texts = [None, "", "one", prose(2500)] + [prose(own.randrange(1, 60)) for _ in range(200)] + [prose(30)] * 40
+    want = collections.Counter()
+    for d, t in enumerate(texts):
+        ids = np.array([*whole.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        for k, at in enumerate(range(0, len(ids), capacity)):
+            want[d, k, at, len(ids[at : at + capacity]), zlib.crc32(ids[at : at + capacity].tobytes())] += 1
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5), PATH, capacity).collect()
+    assert collections.Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == want
+    sequences = collections.defaultdict(list)
+    for r in rows:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in sequences.values():
+        assert [o for o, _ in sorted(parts)] == [0, *np.cumsum([n for _, n in sorted(parts)])[:-1].tolist()] and sum(n for _, n in parts) <= capacity
+    total = sum(r["length"] for r in rows)
+    assert len(sequences) <= math.ceil(total / capacity) * 1.05 + 1
+
+
 def test_plan_fits_any_histogram():
     for seed in range(4):
         h = np.zeros(257, np.int64)
@@ -575,6 +597,36 @@ def test_quality(spark, docs, none):
     assert quality.kept(none, labels).count() == 0
 
 
+def test_quality_equals_brute_force(spark):
+    """Log ratios, weights, noise and the greatest draws, recomputed one n-gram and one row at a time; repeated ids and labels."""
+    own = random.Random(14)
+    texts = [(k % 170, " ".join(own.choice(["Good", "plain", "words,", "12", "and", "more.", "XX", "junk"][: 5 + k % 4]) for _ in range(own.randrange(30)))) for k in range(200)] + [(None, None), (None, "some words")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(k, int(k % 3 > 0), int(k % 7 == 0)) for k in range(120)] + [(5, 0, 0), (6, None, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    features, raw, target = quality.Features(), np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS)
+    roles = quality._roles(docs, labels, quality.MOST_LABELLED).collect()
+    good = {k for k in range(120) if k % 3 > 0 and k % 7 and k != 5}
+    assert {r["doc_id"] for r in roles if r["role"] in (1, 2)} == good and {r["doc_id"] for r in roles if r["role"] == 3} == set(range(120)) - good
+    for r in roles:
+        for family in features.of(r["text"]):
+            for bucket in family.tolist():
+                raw[bucket] += 1
+                target[bucket] += r["role"] == 1
+    ratios = np.zeros(quality.BUCKETS)
+    for low, high in zip(quality.FROM, (*quality.FROM[1:], quality.BUCKETS), strict=True):
+        share = target[low:high].sum() / raw[low:high].sum()
+        for b in np.flatnonzero(raw[low:high]) + low:
+            ratios[b] = min(3, max(-6, math.log((target[b] + quality.PRIOR) / (raw[b] * share + quality.PRIOR))))
+    want = collections.Counter((d, round(sum(ratios[b] for family in features.of(t) for b in family.tolist()), 2)) for d, t in texts)
+    got = quality.resampled(quality.scored(docs, labels), 0.3).collect()
+    assert collections.Counter((r["doc_id"], round(r["log_weight"], 2)) for r in got) == want
+    noise = {r["doc_id"]: -math.log(-math.log((r["h"] % (1 << 52) + 0.5) / (1 << 52))) for r in docs.select("doc_id", F.xxhash64("doc_id", F.lit(0)).alias("h")).collect()}
+    assert all(abs(r["draw"] - r["log_weight"] - noise[r["doc_id"]]) < 1e-6 for r in got)
+    k = math.ceil(0.3 * len(texts))
+    edge = sorted((r["draw"] for r in got), reverse=True)[k - 1]
+    assert {r["draw"] for r in got if r["sampled"]} == {d for d in (r["draw"] for r in got) if d >= edge}
+
+
 def test_decontamination(spark, none):
     item = [prose(24).split(), prose(50).split()]
     paraphrase = [w if i % 6 else "other" for i, w in enumerate(item[1])]
