@@ -11,8 +11,9 @@ equal for `window` words or more is a duplicate span.
 
 Most windows are never shuffled. Each window elects an anchor, the least hash of its runs of
 SEED words (leftmost on ties), so equal windows elect equal anchors; an anchor that occurs
-once rules out all its windows. Consecutive windows of one anchor travel as one variant, and
-equal variants are sent once a task. Anchors that occur twice are looked up in a bitmap of
+once rules out all its windows. Consecutive windows of one anchor travel as one variant, with
+all its places in a slice of documents, so a passage that a third of all documents share is a
+row a slice; the windows of equal variants are sent once a task. Anchors that occur twice are looked up in a bitmap of
 bounded size; what it lets through in vain is found to be alone later.
 
 Null texts have no words. Texts shorter than a window are kept whole. Null ids and repeated
@@ -104,16 +105,17 @@ def _anchors(window: int, bits: int):
     return run
 
 
-FOUND = "vid long, doc long, h long, at int, keys array<long>"
+FOUND = "vid long, places array<struct<doc:long,h:long,at:int>>, keys array<long>"
 
 
 def _variants(window: int, wanted: KeyFilter, bits: int):
     @lean
     def run(batches):
         sent: set[int] = set()
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
-        for few in sliced(batches, 200):
-            rows: list[tuple] = []
+        place = pa.struct([("doc", pa.int64()), ("h", pa.int64()), ("at", pa.int32())])
+        for few in sliced(batches, 500):
+            rows: dict[int, list[tuple]] = {}
+            windows: dict[int, np.ndarray] = {}
             for doc, h, text in zip(*(few.column(i).to_pylist() for i in range(3)), strict=True):
                 words = word_hashes(_encoded(text), bits)
                 anchors, first, end = anchored(words, window)
@@ -125,14 +127,18 @@ def _variants(window: int, wanted: KeyFilter, bits: int):
                     own = keys[i:j]
                     vid = xxhash.xxh64_intdigest(own.tobytes(), a & 0xFFFFFFFF)
                     vid -= (vid >> 63) << 64
-                    new = vid not in sent
-                    if new:
+                    if vid not in sent:
                         if len(sent) > 200_000:
                             sent.clear()
                         sent.add(vid)
-                    rows.append((vid, doc, h, i, own if new else None))
+                        windows[vid] = own.copy()
+                    rows.setdefault(vid, []).append((doc, h, i))
             if rows:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["vid", "doc", "h", "at", "keys"])
+                flat = list(zip(*(p for places in rows.values() for p in places), strict=True))
+                places = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(flat, place, strict=True)], fields=list(place))
+                offsets = pa.array(np.r_[0, np.cumsum([len(x) for x in rows.values()])], pa.int32())
+                columns = [pa.array(list(rows), pa.int64()), pa.ListArray.from_arrays(offsets, places), pa.array([windows.get(v) for v in rows], pa.list_(pa.int64()))]
+                yield pa.record_batch(columns, names=["vid", "places", "keys"])
 
     return run
 
@@ -157,8 +163,8 @@ def indexed(rows: DataFrame, window: int = WINDOW, bits: int = 64, made: list[st
     twice = rows.select("text").mapInArrow(_anchors(window, bits), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
     wanted = KeyFilter.of(materialize(twice, "twice", made), "anchor")
     found = materialize(rows.select("doc", "h", "text").mapInArrow(_variants(window, wanted, bits), FOUND), "variants", made)
-    place = F.struct("doc", "h", "at")
-    variants = found.groupBy("vid").agg(F.count("*").alias("times"), F.first("keys", ignorenulls=True).alias("keys"), F.min(place).alias("low"), F.max(place).alias("high"))
+    low, high = F.min(F.array_min("places")).alias("low"), F.max(F.array_max("places")).alias("high")
+    variants = found.groupBy("vid").agg(F.sum(F.size("places")).alias("times"), F.first("keys", ignorenulls=True).alias("keys"), low, high)
     variants = materialize(variants.withColumn("uid", F.monotonically_increasing_id()), "distinct", made)
     # a variant has at most window windows, so its number and a place in it make one long
     step = 1 << max(6, (window + 1).bit_length())
@@ -172,8 +178,11 @@ def indexed(rows: DataFrame, window: int = WINDOW, bits: int = 64, made: list[st
     there = single.join(variants.select("uid", "low"), "uid").select("mine", F.struct("k", F.col("low.doc").alias("rdoc"), F.col("low.h").alias("rh"), (F.col("low.at") + F.col("rk")).alias("rat")).alias("hit"))
     hits = there.groupBy(F.col("mine").alias("uid")).agg(F.collect_list("hit").alias("hits"))
     marks = variants.join(hits, "uid", "left").where("times > 1 or hits is not null").select("vid", F.size("keys").alias("n"), "low", "high", "hits")
-    own = found.select("vid", "doc", "h", "at").join(materialize(marks, "marks", made), "vid")
-    ref = F.when(F.col("low") == place, F.col("high")).otherwise(F.col("low"))
+    own = found.select("vid", "places").join(materialize(marks, "marks", made), "vid")
+    # dealt anew before the places stand alone, as the places of one variant may be very many
+    own = own.repartition("vid", F.col("places")[0]).select("n", "low", "high", "hits", F.explode("places").alias("p"))
+    own = own.select("n", "low", "high", "hits", "p", "p.doc", "p.h", "p.at")
+    ref = F.when(F.col("low") == F.col("p"), F.col("high")).otherwise(F.col("low"))
     whole = F.array(F.struct(F.col("at"), F.col("n"), ref["doc"].alias("rdoc"), ref["h"].alias("rh"), ref["at"].alias("rat")))
     parts = F.transform("hits", lambda x: F.struct((F.col("at") + x["k"]).alias("at"), F.lit(1).alias("n"), x["rdoc"].alias("rdoc"), x["rh"].alias("rh"), x["rat"].alias("rat")))
     runs = own.select("doc", "h", F.when(F.col("hits").isNull(), whole.cast(RUNS)).otherwise(parts.cast(RUNS)).alias("runs"))
